@@ -53,10 +53,10 @@ _RELATIONS = {
         FROM supplier WHERE s_acctbal < 5000""",
     "cache_times": """
         SELECT s_suppkey, s_suppkey % 4 AS kind,
-               TIMESTAMP '2024-01-01 00:00:00' + to_seconds((s_suppkey * 397) % 4200 - 1200) AS at
+               TIMESTAMP '2024-01-01 00:00:00' + to_seconds((s_suppkey * 397) % 4200 - 1200) AS made
         FROM supplier WHERE s_acctbal >= 0""",
     "prediction_cache": """
-        SELECT 'TRUCK_' || s_suppkey AS entity_id, at AS prediction_timestamp,
+        SELECT 'TRUCK_' || s_suppkey AS entity_id, made AS prediction_timestamp,
                CASE kind WHEN 0 THEN 'NORMAL' WHEN 1 THEN 'ENGINE_FAILURE'
                    WHEN 2 THEN 'TRANSMISSION_FAILURE' ELSE 'ELECTRICAL_FAILURE'
                END AS predicted_failure_type,
@@ -66,7 +66,7 @@ _RELATIONS = {
                    ELSE 'basic_11_features' END AS ttf_model_used,
                200.0::DOUBLE AS current_engine_temp, 45.0::DOUBLE AS current_trans_pressure,
                13.0::DOUBLE AS current_battery_voltage,
-               at + INTERVAL 1234 MILLISECOND AS last_updated
+               made + INTERVAL 1234 MILLISECOND AS last_updated
         FROM cache_times""",
     "markers": """
         SELECT 'TRUCK_' || s_suppkey AS entity_id,
@@ -180,6 +180,22 @@ _RELATIONS = {
                     ELSE 'none'
                END AS ttf_model_used
         FROM scored""",
+    "array_predictions": """
+        SELECT feature_timestamp AS prediction_timestamp, entity_id,
+               avg_engine_temp AS current_engine_temp,
+               avg_trans_oil_pressure AS current_trans_pressure,
+               avg_battery_voltage AS current_battery_voltage, kind AS predicted_failure_type,
+               CASE WHEN kind = 'ELECTRICAL_FAILURE' THEN hours_temporal
+                    WHEN kind <> 'NORMAL' THEN hours_basic END AS predicted_hours_to_failure,
+               CASE WHEN kind = 'ELECTRICAL_FAILURE' THEN 'temporal_16_features'
+                    WHEN kind <> 'NORMAL' THEN 'basic_11_features' ELSE 'none' END AS ttf_model_used
+        FROM (SELECT *, CASE
+                  WHEN missing THEN 'NORMAL'
+                  WHEN stddev_battery_voltage > 0.7::DOUBLE THEN 'ELECTRICAL_FAILURE'
+                  WHEN rolling_avg_trans_oil_pressure < 44.7::DOUBLE THEN 'TRANSMISSION_FAILURE'
+                  WHEN rolling_avg_engine_temp > 206.0::DOUBLE THEN 'ENGINE_FAILURE'
+                  ELSE 'NORMAL' END AS kind
+              FROM scored)""",
     "refreshed": """
         SELECT coalesce(s.entity_id, t.entity_id) AS entity_id,
                CASE WHEN s.entity_id IS NULL THEN t.prediction_timestamp
@@ -253,6 +269,7 @@ _NEEDS = {
     "latest": ["features"],
     "scored": ["latest"],
     "predictions": ["scored"],
+    "array_predictions": ["scored"],
     "refreshed": ["prediction_cache", "predictions"],
     "ages": ["prediction_cache", "telemetry"],
     "normal_rows": ["normal_seed", "failure_config"],
@@ -261,15 +278,43 @@ _NEEDS = {
 }
 
 
-def _with(needs: list[str], body: str) -> str:
+# Events seen as readings of their user, and their daily slices.
+_EVENT_READINGS = """
+        SELECT ts, 'USER_' || user_id AS entity_id, value AS engine_temp,
+               (props->>'$.k')::DOUBLE AS trans_oil_pressure,
+               length(event_type)::DOUBLE AS battery_voltage, 'NORMAL' AS status
+        FROM events"""
+
+
+def _event_relations() -> dict[str, str]:
+    """The shared relations over event readings and daily slices."""
+    out = {**_RELATIONS, "telemetry": _EVENT_READINGS}
+    out["stats"] = out["stats"].replace("INTERVAL 5 MINUTE", "INTERVAL 1 DAY")
+    for name in ("running", "scored"):
+        out[name] = out[name].replace("5.0::DOUBLE AS slope", "1440.0::DOUBLE AS slope")
+    out["running"] = out["running"].replace("/ 5.0::DOUBLE", "/ 1440.0::DOUBLE")
+    out["features"] = out["features"].replace("record_count >= 12", "record_count >= 2")
+    out["scored"] = (
+        out["scored"]
+        .replace("> 206.0::DOUBLE", "> 200.0::DOUBLE")
+        .replace("volatility_delta / 5.0::DOUBLE", "volatility_delta / 1440.0::DOUBLE")
+    )
+    return out
+
+
+def _with_events(needs: list[str], body: str) -> str:
+    return _with(needs, body, _event_relations(), {**_NEEDS, "telemetry": []})
+
+
+def _with(needs: list[str], body: str, relations=_RELATIONS, needed=_NEEDS) -> str:
     wanted: set[str] = set()
     todo = list(needs)
     while todo:
         name = todo.pop()
         if name not in wanted:
             wanted.add(name)
-            todo += _NEEDS[name]
-    parts = [f"{n} AS ({sql})" for n, sql in _RELATIONS.items() if n in wanted]
+            todo += needed[name]
+    parts = [f"{n} AS ({sql})" for n, sql in relations.items() if n in wanted]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
@@ -572,5 +617,44 @@ def all_oracles() -> dict[str, str]:
         "idempotent_append": _with(
             tel, f'SELECT ts AS "timestamp", entity_id, {_SENSORS}, status FROM telemetry'
         ),
+        "hybrid_prediction_function": _with(
+            ["array_predictions"], f"SELECT {_CACHE} FROM array_predictions"
+        ),
+        "stream_agg_5min": _with_events(
+            ["agg"],
+            f"""SELECT bucket_time, entity_id, {_MEANS}, point_count, latest_timestamp FROM agg
+                WHERE bucket_time <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+        ),
+        "stream_latest": _with_events(
+            ["telemetry"],
+            f'SELECT entity_id, ts AS "timestamp", {_SENSORS}, status FROM ({_LATEST_READING})',
+        ),
+        "stream_append": _with_events(
+            ["telemetry"],
+            f'SELECT entity_id, ts AS "timestamp", {_SENSORS}, status FROM telemetry',
+        ),
+        "stream_append_history": _with_events(
+            ["telemetry"],
+            f'SELECT entity_id, ts AS "timestamp", {_SENSORS}, status FROM telemetry',
+        ),
+        "stream_refresh_cache": _with_events(
+            ["predictions"],
+            f"""SELECT {_CACHE}, TIMESTAMP '2024-01-01 02:00:00' AS last_updated
+                FROM predictions""",
+        ),
+        "stream_refresh_markers": _with_events(
+            ["predictions"],
+            """SELECT entity_id,
+                      time_bucket(INTERVAL 5 MINUTE, prediction_timestamp) AS first_failure_time,
+                      predicted_failure_type AS failure_type,
+                      TIMESTAMP '2024-01-01 02:00:00' AS last_updated
+               FROM predictions WHERE predicted_failure_type <> 'NORMAL'""",
+        ),
+        "stream_features": _with_events(
+            ["features"],
+            f"""SELECT {_FEATURES} FROM features
+                WHERE feature_timestamp < time_bucket(
+                    INTERVAL 1 DAY, (SELECT max(ts) FROM events) - INTERVAL 2 DAY)""",
+        ),
     }
     return out

@@ -12,9 +12,12 @@ from sensorloom import session
 from sensorloom.functions.timeops import datediff_boundary, time_slice, time_text, trailing
 from sensorloom.operators.keyed import append_if_absent, insert_if_absent, update_where
 from sensorloom.operators.windows import latest_per
-from sensorloom.plans import features, refresh, replay, scoring, serving, status
+from sensorloom.plans import array_rules, features, models, refresh, replay, scoring, serving, status
 from sensorloom.schemas import DEFAULT_STATUS, FAILURE_TYPES
 from sensorloom.sources import derived, export, traces
+from sensorloom.sources.versioned import VersionedTable
+from sensorloom.streaming import live
+from sensorloom.streaming.refresh import RefreshStore, stream_refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -375,3 +378,118 @@ def idempotent_append(spark, sf_dir):
     again = derived.telemetry_of(normal).drop("status")
     stamped = again.withColumn("status", F.lit(DEFAULT_STATUS))
     return append_if_absent(existing, stamped, replay.KEYS)
+
+
+# --- trained models -----------------------------------------------------
+
+
+def _trained(spark, sf_dir):
+    """Models trained on what the rules say of every slice, kept with its features."""
+    rules = scoring.RuleScorer()
+    rows = _features(spark, sf_dir)
+    labelled = rows.withColumns({"rule_class": rules.class_expr(), "rule_hours": rules.basic_expr()})
+    labelled = session.cut_lineage(labelled, "labelled")
+    return labelled, models.fit_scorer(
+        labelled, label="rule_class", hours="rule_hours", trees=5, depth=4
+    )
+
+
+@query
+def hybrid_prediction_ml(spark, sf_dir):
+    labelled, scorer = _trained(spark, sf_dir)
+    return scoring.hybrid_prediction(labelled.drop("rule_class", "rule_hours"), scorer)
+
+
+@query
+def hybrid_prediction_function(spark, sf_dir):
+    """Rules as array functions, run the way an outside model would be."""
+    session.ship_package(spark)
+    scorer = models.FunctionScorer(array_rules.classifier, array_rules.basic, array_rules.temporal)
+    return scoring.hybrid_prediction(_features(spark, sf_dir), scorer)
+
+
+# --- streams, run to the end of the given events -------------------------
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    events = derived.table(spark, sf_dir, "events")
+    stream = (
+        spark.readStream.schema(events.schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    return derived.event_readings(stream)
+
+
+@query
+def stream_agg_5min(spark, sf_dir):
+    base = session.scratch_path(spark, "stream-agg")
+    rows = live.stream_agg_5min(_event_stream(spark, sf_dir), watermark="10 minutes")
+    live.write_stream(rows, f"{base}/out", checkpoint=f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out")
+
+
+@query
+def stream_latest(spark, sf_dir):
+    base = session.scratch_path(spark, "stream-latest")
+    rows = live.stream_latest(_event_stream(spark, sf_dir))
+    table = VersionedTable(spark, f"{base}/out", rows.schema)
+    live.stream_to_table(rows, table, checkpoint=f"{base}/checkpoint").awaitTermination()
+    return table.read()
+
+
+@query
+def stream_append(spark, sf_dir):
+    """Every event delivered twice, appended once."""
+    base = session.scratch_path(spark, "stream-append")
+    stream = _event_stream(spark, sf_dir)
+    twice = stream.unionByName(_event_stream(spark, sf_dir))
+    live.stream_append(
+        twice, f"{base}/out", watermark="10 minutes", checkpoint=f"{base}/checkpoint"
+    ).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
+
+
+@query
+def stream_append_history(spark, sf_dir):
+    """Two streams deliver the same events; the second finds them written."""
+    base = session.scratch_path(spark, "stream-history")
+    stream = _event_stream(spark, sf_dir)
+    for run in ("first", "second"):
+        live.stream_append_history(
+            stream, f"{base}/out", checkpoint=f"{base}/{run}"
+        ).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
+
+
+def _refresh_store(spark, sf_dir) -> RefreshStore:
+    store = RefreshStore(spark, session.scratch_path(spark, "stream-refresh"))
+    stream_refresh(
+        _event_stream(spark, sf_dir),
+        store,
+        scoring.RuleScorer(hot_engine=200.0, minutes=1440.0),
+        checkpoint=f"{store.path}/checkpoint",
+        lateness="2 days",
+        minutes=1440,
+        min_records=2,
+        as_of=AS_OF,
+    ).awaitTermination()
+    return store
+
+
+@query
+def stream_refresh_cache(spark, sf_dir):
+    """Predictions from daily slices of the events."""
+    return _refresh_store(spark, sf_dir).cache.read()
+
+
+@query
+def stream_refresh_markers(spark, sf_dir):
+    return _refresh_store(spark, sf_dir).markers.read()
+
+
+@query
+def stream_features(spark, sf_dir):
+    """Features of the closed slices, as the refresh stream writes them out."""
+    store = _refresh_store(spark, sf_dir)
+    return spark.read.parquet(store.features_path).drop("batch")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,3 +51,18 @@ def cut_lineage(df, label: str):
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Only functions that run in Python inside tasks need it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_sensorloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    stem = os.path.join(tempfile.mkdtemp(prefix="sensorloom-"), "sensorloom_package")
+    archive = shutil.make_archive(stem, "zip", os.path.dirname(here), os.path.basename(here))
+    context.addPyFile(archive)
+    context._sensorloom_shipped = True
