@@ -471,6 +471,9 @@ def all_oracles() -> dict[str, str]:
         ),
         "temporal_features": _with(["features"], f"SELECT {_FEATURES} FROM features"),
         "temporal_features_carried": _with(["features"], f"SELECT {_FEATURES} FROM features"),
+        "temporal_features_segmented": _with_events(
+            ["features"], f"SELECT {_FEATURES} FROM features"
+        ),
         "latest_features": _with(["latest"], f"SELECT {_FEATURES} FROM latest"),
         "classify_failure": _with(
             ["scored"], "SELECT entity_id, feature_timestamp, predicted_failure_type FROM scored"

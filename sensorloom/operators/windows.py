@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 
 def _names(value) -> list[str]:
@@ -22,24 +23,50 @@ def descending_rank(columns) -> Column:
     return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
 
 
-def latest_per(df: DataFrame, key, order) -> DataFrame:
+# Types whose running maximum is kept in place by a hash aggregate.
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+# Fixed value: the last instant a timestamp can hold.
+_LAST_INSTANT = "294247-01-10 04:00:54.775807"
+
+
+def _thinned(df: DataFrame, groups: list[str], order: str) -> DataFrame:
+    """The newest row per group, by a hash aggregate over fixed-width columns."""
+    rank = F.coalesce(F.col(order), F.lit(_LAST_INSTANT).cast("timestamp_ntz"))
+    rest = [c for c in df.columns if c not in groups]
+    return df.groupBy(*groups).agg(*[F.max_by(c, rank).alias(c) for c in rest])
+
+
+def latest_per(df: DataFrame, key, order, *, few=()) -> DataFrame:
     """The row with the greatest ``order`` of every ``key``.
 
     Written as an aggregate, not as a ranking: each map task sends one row per
     key, so a key that holds a large share of the table costs its reducer one
     row per task.
+
+    Fixed-width columns can be carried through a hash aggregate, anything else
+    makes Spark sort. ``few`` names text columns with few values per key: by
+    grouping by them too, the hash aggregate still does the bulk of the work
+    and leaves a handful of rows per key.
     """
-    keys = _names(key)
+    keys, orders = _names(key), _names(order)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    groups = keys + [c for c in few if c not in keys]
+    fixed = all(isinstance(types[c], _FIXED_WIDTH) for c in df.columns if c not in groups)
+    if fixed and len(orders) == 1 and isinstance(types[orders[0]], T.TimestampNTZType):
+        df = _thinned(df, groups, orders[0]).select(*df.columns)
+        if groups == keys:
+            return df
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), descending_rank(order)).alias("_row")
+        F.max_by(F.struct(*rest), descending_rank(orders)).alias("_row")
     )
     return picked.select(*[c if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
-def by_entity_time(entity: str = "entity_id", ts: str = "feature_timestamp") -> WindowSpec:
-    """Rows of an entity in time order, a NULL time last."""
-    return Window.partitionBy(entity).orderBy(F.col(ts).asc_nulls_last())
+def by_entity_time(entity="entity_id", ts: str = "feature_timestamp") -> WindowSpec:
+    """Rows of an entity (or of a part of its history) in time order, a NULL time last."""
+    return Window.partitionBy(*_names(entity)).orderBy(F.col(ts).asc_nulls_last())
 
 
 def delta(column, window: WindowSpec) -> Column:

@@ -2,13 +2,14 @@
 
 The window functions run on slice statistics, never on readings: whatever
 share of the readings one entity holds, it brings one row per slice of
-history to its window task. ``carry`` shortens that to the slices that are
-new since the last run.
+history to its window task (a year of 5-minute slices is 105,000 rows).
+``carry`` shortens that to the slices that are new since the last run, and
+``segment_days`` cuts longer histories into parts that run as separate tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from sensorloom.operators.windows import (
     by_entity_time,
     cumulative_sum,
     delta,
+    latest_per,
     rolling_mean,
     slope,
 )
@@ -77,18 +79,14 @@ def _totalled(rows: DataFrame, volatility: float) -> DataFrame:
     )
 
 
-def running_features(
-    stats: DataFrame, *, minutes: float = 5.0, volatility: float = 0.7, carry: DataFrame | None = None
-) -> DataFrame:
-    """All feature columns of every slice, thin slices included.
+_KEY = ("entity_id",)
 
-    ``carry`` holds, per entity, the last two slices already processed and the
-    running totals up to them (see ``feature_carry``).
-    """
-    w = by_entity_time()
-    rows = _totalled(_with_carry(stats, carry), volatility)
+
+def _running(rows: DataFrame, key, columns, minutes: float) -> DataFrame:
+    """Derived columns over the rows of each key in time order, carried rows removed."""
+    w = by_entity_time(key)
     derived = rows.select(
-        *stats.columns,
+        *columns,
         "carried",
         slope("avg_engine_temp", w, minutes).alias("slope_engine_temp"),
         slope("avg_trans_oil_pressure", w, minutes).alias("slope_trans_oil_pressure"),
@@ -104,6 +102,82 @@ def running_features(
     return derived.filter(~F.col("carried")).drop("carried")
 
 
+def _segments(stats: DataFrame, volatility: float, days: int) -> DataFrame:
+    """Statistics with a segment number, each segment led by what came before it.
+
+    A segment needs the two rows before it and the running totals up to them.
+    Per segment there is one summary row: its last two rows and its totals.
+    Only summaries are ordered across the whole history of an entity.
+    """
+    day = F.datediff(F.to_date("feature_timestamp"), F.lit("1970-01-01").cast("date"))
+    # Rows without a time come after all others: a last segment of their own.
+    segment = F.coalesce(F.floor(day / days), F.lit(2**62)).cast("long")
+    cut = stats.withColumn("segment", segment)
+    row = F.struct(*stats.columns)
+    backwards = Window.partitionBy("entity_id", "segment").orderBy(
+        F.col("feature_timestamp").desc_nulls_first()
+    )
+    own = F.col("stddev_battery_voltage")
+    summary = (
+        cut.select("entity_id", "segment", row.alias("row"), own, F.row_number().over(backwards).alias("back"))
+        .groupBy("entity_id", "segment")
+        .agg(
+            F.max_by("row", F.when(F.col("back") == 1, 1)).alias("last"),
+            F.max_by("row", F.when(F.col("back") == 2, 1)).alias("before"),
+            F.sum(own).alias("volatility"),
+            F.sum(F.when(own > volatility, 1).otherwise(0)).alias("elevated"),
+        )
+    )
+    history = Window.partitionBy("entity_id").orderBy("segment")
+    past = history.rowsBetween(Window.unboundedPreceding, -1)
+    newer = F.lag("last").over(history)
+    older = F.coalesce(F.lag("before").over(history), F.lag("last", 2).over(history))
+    led = summary.select(
+        "entity_id",
+        "segment",
+        newer.alias("newer"),
+        older.alias("older"),
+        F.sum("volatility").over(past).alias("base_volatility"),
+        F.sum("elevated").over(past).alias("base_elevated"),
+    ).filter(F.col("newer").isNotNull())
+
+    # The older row bears the totals; the newer one does where it is alone.
+    def carried(which: str, bears: Column) -> DataFrame:
+        return led.filter(F.col(which).isNotNull()).select(
+            *[F.col(which)[c].alias(c) for c in stats.columns],
+            "segment",
+            F.when(bears, F.col("base_volatility")).alias("base_volatility"),
+            F.when(bears, F.col("base_elevated")).alias("base_elevated"),
+        )
+
+    carry = carried("older", F.lit(True)).unionByName(carried("newer", F.col("older").isNull()))
+    return _with_carry(cut, carry)
+
+
+def running_features(
+    stats: DataFrame,
+    *,
+    minutes: float = 5.0,
+    volatility: float = 0.7,
+    carry: DataFrame | None = None,
+    segment_days: int | None = None,
+) -> DataFrame:
+    """All feature columns of every slice, thin slices included.
+
+    ``carry`` holds, per entity, the last two slices already processed and the
+    running totals up to them (see ``feature_carry``). ``segment_days`` splits
+    the history of an entity over several tasks; it reads ``stats`` twice,
+    which Spark serves from one shuffle or one written table.
+    """
+    if segment_days is None:
+        rows, key = _with_carry(stats, carry), _KEY
+    elif carry is None:
+        rows, key = _segments(stats, volatility, segment_days), (*_KEY, "segment")
+    else:
+        raise ValueError("carry and segment_days exclude each other")
+    return _running(_totalled(rows, volatility), key, stats.columns, minutes)
+
+
 def temporal_features(
     stats: DataFrame,
     *,
@@ -111,13 +185,16 @@ def temporal_features(
     volatility: float = 0.7,
     min_records: int = 12,
     carry: DataFrame | None = None,
+    segment_days: int | None = None,
 ) -> DataFrame:
     """The sixteen features per entity and slice.
 
     Thin slices still feed the lags and running values of later slices; they
     are dropped only at the end.
     """
-    rows = running_features(stats, minutes=minutes, volatility=volatility, carry=carry)
+    rows = running_features(
+        stats, minutes=minutes, volatility=volatility, carry=carry, segment_days=segment_days
+    )
     full = rows.filter(F.col("record_count") >= min_records)
     return full.select(
         "entity_id",
@@ -130,17 +207,8 @@ def temporal_features(
 
 
 def latest_features(features: DataFrame) -> DataFrame:
-    """Newest feature row of every entity.
-
-    The rows are already grouped and sorted by entity and time, so asking for
-    the row without a successor needs neither a shuffle nor a sort.
-    """
-    following = F.lead(F.lit(True)).over(by_entity_time())
-    return (
-        features.withColumn("_following", following)
-        .filter(F.col("_following").isNull())
-        .drop("_following")
-    )
+    """Newest feature row of every entity."""
+    return latest_per(features, "entity_id", "feature_timestamp")
 
 
 def feature_carry(

@@ -151,6 +151,14 @@ def temporal_features_carried(spark, sf_dir):
     )
 
 
+@query
+def temporal_features_segmented(spark, sf_dir):
+    """Daily slices of the events, each history cut into weeks."""
+    readings = derived.event_readings(derived.table(spark, sf_dir, "events"))
+    stats = features.window_stats(readings, minutes=1440)
+    return features.temporal_features(stats, minutes=1440.0, min_records=2, segment_days=7)
+
+
 @query
 def latest_features(spark, sf_dir):
     return features.latest_features(_features(spark, sf_dir))

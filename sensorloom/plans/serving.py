@@ -13,7 +13,7 @@ from sensorloom.schemas import SENSORS
 def latest_telemetry(tel: DataFrame) -> DataFrame:
     """Newest reading of every entity."""
     columns = ["entity_id", "timestamp", *SENSORS, "status"]
-    newest = latest_per(tel.select(*columns), "entity_id", "timestamp")
+    newest = latest_per(tel.select(*columns), "entity_id", "timestamp", few=["status"])
     return newest.orderBy(F.col("entity_id").asc_nulls_last())
 
 
@@ -23,7 +23,8 @@ def fleet_status(tel: DataFrame, entities: DataFrame, *, fresh_s: int = 10) -> D
     On line means within ``fresh_s`` seconds of the newest reading of the
     whole fleet, which is a one-column scan handed in as a scalar.
     """
-    newest = latest_per(tel.select("entity_id", "timestamp", *SENSORS), "entity_id", "timestamp")
+    readings = tel.select("entity_id", "timestamp", *SENSORS)
+    newest = latest_per(readings, "entity_id", "timestamp")
     fleet_max = tel.select(F.max("timestamp")).scalar()
     lag = datediff_boundary("second", F.col("timestamp"), fleet_max)
     return (

@@ -17,40 +17,52 @@ START = "2024-01-01 00:00:00"
 STEP = 5
 CLOCK = 100
 
-# How many pieces a truck's rows are ranked in.
-_PIECES = 256
+# Rows of one truck that a single task ranks.
+HOT_ROWS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, key: str, order: list[str], *, pieces: int = _PIECES) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[str], *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``df`` with ``epoch`` 1..n per key in the given order.
 
-    Ranking a key in one task would not do for a key that holds a large share
-    of the rows. The first order column is cut into equal ranges; rows are
-    ranked within (key, range) and offset by the row counts of the ranges
-    before, which are small.
+    A key with more than ``hot_rows`` rows is not ranked in one task: the range
+    of the first order column is cut into pieces for it, its rows are ranked
+    within a piece and offset by the counts of the pieces before. The frames
+    that describe the hot keys have at most one row per ``hot_rows`` rows of
+    input for the keys, and two for the pieces, hence the broadcasts.
     """
     lead = order[0]
     top = df.select(F.max(lead) + 1).scalar()
-    pieced = df.withColumn("_piece", F.floor(F.col(lead) * pieces / top))
+    hot = (
+        df.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > hot_rows)
+        .select(key, F.ceil(F.col("_n") / hot_rows).alias("_pieces"))
+    )
+    piece = F.floor(F.col(lead) * F.col("_pieces") / top)
     before = (
         Window.partitionBy(key)
         .orderBy("_piece")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        pieced.groupBy(key, "_piece")
+        df.select(key, lead)
+        .join(F.broadcast(hot), key)
+        .groupBy(key, piece.alias("_piece"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        .select(key, "_piece", F.sum("_n").over(before).alias("_offset"))
     )
     within = Window.partitionBy(key, "_piece").orderBy(*order)
+    start = F.coalesce("_offset", F.lit(0).cast("long"))
     return (
-        pieced.join(offsets, [key, "_piece"])
-        .withColumn("epoch", F.col("_offset") + F.row_number().over(within))
-        .drop("_piece", "_offset")
+        df.join(F.broadcast(hot), key, "left")
+        .withColumn("_piece", F.coalesce(piece, F.lit(0).cast("long")))
+        .join(F.broadcast(offsets), [key, "_piece"], "left")
+        .withColumn("epoch", start + F.row_number().over(within))
+        .select(*df.columns, "epoch")
     )
 
 
