@@ -61,7 +61,7 @@ def test_closed_slices_equal_the_batch(spark, fleet, tmp_path):
 
 def test_late_readings_are_dropped(spark, tmp_path):
     path = str(tmp_path / "in")
-    for batch in ([("a", 10)], [("a", 3000)], [("a", 20), ("a", 3010)]):
+    for batch in ([("a", 10)], [("a", 3000)], [("a", 3005)], [("a", 20), ("a", 3010)]):
         readings(spark, *batch).coalesce(1).write.mode("append").parquet(path)
     rows = live.stream_agg_5min(stream_of(spark, path), watermark="5 minutes")
     live.write_stream(rows, str(tmp_path / "out"), checkpoint=str(tmp_path / "c")).awaitTermination()
