@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 def any_missing(columns) -> Column:
     """True when any of the columns is NULL or NaN."""
-    tests = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in columns]
-    return reduce(lambda a, b: a | b, tests)
+    return F.expr(" OR ".join(f"`{c}` IS NULL OR isnan(double(`{c}`))" for c in columns))
 
 
 def greatest_or_null(*columns: Column) -> Column:

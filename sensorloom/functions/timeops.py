@@ -57,11 +57,6 @@ def epoch_to_ts(start: Column, epoch: Column, step_seconds) -> Column:
     return start + F.lit(timedelta(seconds=1)) * (epoch * step)
 
 
-def step_or_default(step: Column, default: int = 5) -> Column:
-    """Step seconds with NULL and zero read as the default."""
-    return F.coalesce(F.nullif(step, F.lit(0)), F.lit(default)).cast("long")
-
-
 def trailing(df: DataFrame, ts: str, *, hours: float, as_of=None) -> DataFrame:
     """Rows of the last ``hours`` before ``as_of``, or before the newest ``ts``.
 

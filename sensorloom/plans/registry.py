@@ -226,9 +226,8 @@ def clear_markers(spark, sf_dir):
 @query
 def refresh_markers(spark, sf_dir):
     """The whole refresh: predictions into the cache, then markers from it."""
-    return refresh.refresh_markers(
-        derived.first_failure_markers(spark, sf_dir), _refreshed(spark, sf_dir), as_of=AS_OF
-    )
+    cache = session.cut_lineage(_refreshed(spark, sf_dir), "cache")
+    return refresh.refresh_markers(derived.first_failure_markers(spark, sf_dir), cache, as_of=AS_OF)
 
 
 # --- status -------------------------------------------------------------

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.timeops import as_of_column, epoch_to_ts, step_or_default
+from sensorloom.functions.timeops import as_of_column
 from sensorloom.operators.keyed import absent_rows, update_from_map, update_if_exists, upsert
+from sensorloom.plans.clock import Clock
 from sensorloom.schemas import DEFAULT_STATUS, FAILURE_TYPES, SENSORS
 
 KEYS = ["timestamp", "entity_id"]
@@ -32,23 +33,6 @@ def tag_traces(traces: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-class _Clock:
-    """The one-row stream state as scalars, folded into filters at run time."""
-
-    def __init__(self, state: DataFrame):
-        self.epoch = state.select("next_epoch").scalar()
-        self.start = state.select("start_ts").scalar()
-        self.step = state.select(step_or_default(F.col("step_seconds"))).scalar()
-        self._state = state
-
-    def epoch_plus(self, n: int) -> Column:
-        return self._state.select(F.col("next_epoch") + n).scalar()
-
-    def time_plus(self, n: int) -> Column:
-        step = step_or_default(F.col("step_seconds"))
-        return self._state.select(epoch_to_ts(F.col("start_ts"), F.col("next_epoch") + n, step)).scalar()
-
-
 def _effective(config: DataFrame) -> DataFrame:
     """Enabled failures with NULL cursors and start epochs read as zero."""
     return config.filter("enabled").select(
@@ -59,35 +43,32 @@ def _effective(config: DataFrame) -> DataFrame:
     )
 
 
-def _stamp(rows: DataFrame, clock: _Clock, existing: DataFrame, epochs: int) -> DataFrame:
+def _stamp(rows: DataFrame, clock: Clock, existing: DataFrame, epochs: int) -> DataFrame:
     """Give rows their time and drop those already there.
 
     Only the touched time range of ``existing`` is read.
     """
     stamped = rows.select(
-        epoch_to_ts(clock.start, F.col("epoch"), clock.step).alias("timestamp"),
+        clock.time_of(F.col("epoch")).alias("timestamp"),
         "entity_id",
         *SENSORS,
         F.lit(DEFAULT_STATUS).alias("status"),
     )
-    touched = existing.filter(
-        (F.col("timestamp") >= clock.time_plus(1)) & (F.col("timestamp") <= clock.time_plus(epochs))
-    )
+    first, last = clock.time_of(clock.epoch + 1), clock.time_of(clock.epoch + epochs)
+    touched = existing.filter(F.col("timestamp").between(first, last))
     return absent_rows(touched, stamped, KEYS)
 
 
-def _normal_rows(config: DataFrame, normal: DataFrame, clock: _Clock, epochs: int) -> DataFrame:
+def _normal_rows(config: DataFrame, normal: DataFrame, clock: Clock, epochs: int) -> DataFrame:
     """Normal-trace rows of the range, without epochs a failure has taken over."""
-    ranged = normal.filter(
-        (F.col("epoch") >= clock.epoch_plus(1)) & (F.col("epoch") <= clock.epoch_plus(epochs))
-    ).alias("n")
+    ranged = normal.filter(F.col("epoch").between(clock.epoch + 1, clock.epoch + epochs)).alias("n")
     taken = _effective(config).select("entity_id", "eff").alias("f")
     replaced = (F.col("n.entity_id") == F.col("f.entity_id")) & (F.col("f.eff") <= F.col("n.epoch"))
     return ranged.join(taken, replaced, "left_anti").select("entity_id", "epoch", *SENSORS)
 
 
 def _failure_rows(
-    config: DataFrame, failure_traces: DataFrame, clock: _Clock, epochs: int
+    config: DataFrame, failure_traces: DataFrame, clock: Clock, epochs: int
 ) -> DataFrame:
     """Failure-trace rows of the range for all failing entities at once.
 
@@ -102,7 +83,7 @@ def _failure_rows(
         "failure_type",
         (F.col("cur") + 1).alias("first"),
         (F.col("cur") + epochs - delay).alias("last"),
-        (clock.epoch + delay - F.col("cur")).alias("shift"),
+        (F.lit(clock.epoch) + delay - F.col("cur")).alias("shift"),
     )
     wanted = wanted.filter(F.col("first") <= F.col("last"))
     block = F.lit(_BLOCK)
@@ -121,7 +102,7 @@ def backfill_normal(
     state: DataFrame, config: DataFrame, normal: DataFrame, existing: DataFrame, *, epochs: int
 ) -> DataFrame:
     """New readings of the next ``epochs`` epochs from the normal traces."""
-    clock = _Clock(state)
+    clock = Clock.of(state)
     return _stamp(_normal_rows(config, normal, clock, epochs), clock, existing, epochs)
 
 
@@ -134,7 +115,7 @@ def backfill_failure(
     epochs: int,
 ) -> DataFrame:
     """New readings of the next ``epochs`` epochs from the failure traces."""
-    clock = _Clock(state)
+    clock = Clock.of(state)
     return _stamp(_failure_rows(config, failure_traces, clock, epochs), clock, existing, epochs)
 
 
@@ -150,8 +131,8 @@ def replay_tick(
     Here a failure without a start epoch is not in effect, and an entity whose
     failure trace has ended brings no row.
     """
-    clock = _Clock(state)
-    started = config.filter(F.col("effective_from_epoch") <= clock.epoch_plus(1))
+    clock = Clock.of(state)
+    started = config.filter(F.col("effective_from_epoch") <= clock.epoch + 1)
     rows = _normal_rows(started, normal, clock, 1).unionByName(
         _failure_rows(started, failure_traces, clock, 1)
     )

@@ -25,16 +25,6 @@ from sensorloom.session import cut_lineage
 
 CLASS = "predicted_failure_type"
 HOURS = "predicted_hours_to_failure"
-_PREDICTION = (
-    "prediction_timestamp",
-    "entity_id",
-    "current_engine_temp",
-    "current_trans_pressure",
-    "current_battery_voltage",
-    CLASS,
-    HOURS,
-    "ttf_model_used",
-)
 
 
 class Scorer(Protocol):
@@ -159,4 +149,4 @@ def hybrid_prediction(features: DataFrame, scorer: Scorer) -> DataFrame:
         CLASS,
         HOURS,
         "ttf_model_used",
-    ).select(*_PREDICTION)
+    )

@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.timeops import (
-    datediff_boundary,
-    epoch_to_ts,
-    step_or_default,
-    time_text,
-)
+from sensorloom.functions.timeops import datediff_boundary, time_text
+from sensorloom.plans.clock import Clock
 from sensorloom.schemas import FAILURE_TYPES
 
 _PREDICTION = (
@@ -83,14 +79,12 @@ def markers_list(markers: DataFrame, *, text_time: bool = False) -> DataFrame:
 
 def active_failures(config: DataFrame, state: DataFrame) -> DataFrame:
     """Enabled failures already in effect on the timeline, with their start time."""
-    clock = state.select("next_epoch").scalar()
-    start = state.select("start_ts").scalar()
-    step = state.select(step_or_default(F.col("step_seconds"))).scalar()
+    clock = Clock.of(state)
     eff = F.col("effective_from_epoch")
-    return config.filter(F.col("enabled") & (eff <= clock)).select(
+    return config.filter(F.col("enabled") & (eff <= clock.epoch)).select(
         "entity_id",
         "failure_type",
-        epoch_to_ts(start, eff, step).alias("started_at"),
+        clock.time_of(eff).alias("started_at"),
         eff.alias("epoch_started"),
         F.col("updated_at").alias("last_updated"),
     )

@@ -91,8 +91,8 @@ def append_batch(batch: DataFrame, path: str) -> None:
     rows = batch.dropDuplicates(KEYS).persist()
     try:
         table = spark.read.schema(rows.withColumn("date", F.to_date("timestamp")).schema).parquet(path)
-        first = rows.select(F.min(F.to_date("timestamp"))).scalar()
-        last = rows.select(F.max(F.to_date("timestamp"))).scalar()
+        day = F.to_date("timestamp")
+        first, last = rows.agg(F.min(day), F.max(day)).first()
         touched = table.filter(F.col("date").between(first, last))
         append_telemetry(absent_rows(touched, rows, KEYS), path)
     finally:

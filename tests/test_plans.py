@@ -6,6 +6,7 @@ from pyspark.sql import Window
 
 from sensorloom.operators.keyed import append_if_absent
 from sensorloom.plans import refresh, replay, serving, status
+from sensorloom.plans.clock import Clock
 from sensorloom.schemas import (
     FAILURE_CONFIG,
     FAILURE_TRACES,
@@ -281,6 +282,23 @@ def test_activate_keeps_a_cursor(spark):
         replay.activate_failure(config, entities, "brakes", clock=10)
 
 
+def test_clock_defaults(spark):
+    assert Clock.of(state_of(spark, 7, step=0)).step == 5
+    assert Clock.of(state_of(spark, 7, step=None)).step == 5
+    assert Clock.of(state_of(spark, None)).epoch == 0
+    with pytest.raises(ValueError):
+        Clock.of(state_of(spark, 7).limit(0))
+
+
+def test_ranges_reach_the_scans(spark, tmp_path):
+    normals_of(spark, 20, "a").write.parquet(str(tmp_path / "normal"))
+    nothing(spark).write.parquet(str(tmp_path / "existing"))
+    normal, existing = (spark.read.parquet(str(tmp_path / n)) for n in ("normal", "existing"))
+    df = replay.backfill_normal(state_of(spark, 3), config_of(spark), normal, existing, epochs=4)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(epoch,4)" in plan and "GreaterThanOrEqual(timestamp,2024-01-01T00:00:20" in plan
+
+
 def test_state_changes(spark):
     empty = spark.createDataFrame([("s", None, None, None, None)], STREAM_STATE)
     filled = replay.fill_state_defaults(empty, as_of=START).first()

@@ -8,7 +8,6 @@ from sensorloom.functions.timeops import (
     datediff_boundary,
     epoch_to_ts,
     ntz,
-    step_or_default,
     time_slice,
     time_text,
     trailing,
@@ -76,16 +75,6 @@ def test_epoch_to_ts(spark):
     assert got.t == ts(2024, 2, 27, 20, 53, 20)
 
 
-def test_step_defaults(spark):
-    got = one(
-        spark,
-        zero=step_or_default(F.lit(0)),
-        null=step_or_default(F.lit(None).cast("int")),
-        given=step_or_default(F.lit(7)),
-    )
-    assert (got.zero, got.null, got.given) == (5, 5, 7)
-
-
 def test_text_truncates(spark):
     t = ntz("2024-01-01 10:20:30.9999")
     got = one(spark, s=time_text(t), m=time_text(t, millis=True))
