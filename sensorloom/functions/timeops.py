@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ORIGIN = datetime(1970, 1, 1)
+
+# Name of the partition column of tables laid out by day.
+DAY = "date"
 _UNIT_MICROS = {
     "second": 1_000_000,
     "minute": 60_000_000,
@@ -57,21 +60,48 @@ def epoch_to_ts(start: Column, epoch: Column, step_seconds) -> Column:
     return start + F.lit(timedelta(seconds=1)) * (epoch * step)
 
 
-def trailing(df: DataFrame, ts: str, *, hours: float, as_of=None) -> DataFrame:
-    """Rows of the last ``hours`` before ``as_of``, or before the newest ``ts``.
+def on_newest_day(df: DataFrame) -> DataFrame:
+    """The newest day of a table laid out by day; any other table as it is."""
+    if DAY not in df.columns:
+        return df
+    return df.filter(F.col(DAY) == df.select(F.max(DAY)).scalar())
+
 
-    The bound is a literal or an uncorrelated scalar subquery with the
-    subtraction inside it, so the scan receives ``ts >= value`` and skips row
-    groups that are too old.
+def newest(df: DataFrame, ts: str, *, back: timedelta | None = None) -> Column:
+    """The greatest ``ts`` as a scalar, less ``back``.
+
+    A table laid out by day is asked for its newest day first, and only that
+    day is read.
     """
-    back = F.lit(timedelta(hours=hours))
+    value = F.max(ts) if back is None else F.max(ts) - F.lit(back)
+    return on_newest_day(df).select(value.alias("newest")).scalar()
+
+
+def between_times(df: DataFrame, ts: str, first: Column, last: Column | None = None) -> DataFrame:
+    """Rows from ``first`` to ``last``, both included.
+
+    Parquet files keep no usable statistics for zone-free timestamps, so the
+    range is also put on the day column of tables laid out by day, where it
+    prunes whole folders.
+    """
+    inside = F.col(ts) >= first
+    if last is not None:
+        inside = inside & (F.col(ts) <= last)
+    if DAY in df.columns:
+        inside = inside & (F.col(DAY) >= F.to_date(first))
+        if last is not None:
+            inside = inside & (F.col(DAY) <= F.to_date(last))
+    return df.filter(inside)
+
+
+def trailing(df: DataFrame, ts: str, *, hours: float, as_of=None) -> DataFrame:
+    """Rows of the last ``hours`` before ``as_of``, or before the newest ``ts``."""
+    back = timedelta(hours=hours)
     if as_of is None:
-        bound = df.select((F.max(ts) - back).alias("bound")).scalar()
-    elif isinstance(as_of, Column):
-        bound = as_of - back
+        bound = newest(df, ts, back=back)
     else:
-        bound = ntz(as_of) - back
-    return df.filter(F.col(ts) >= bound)
+        bound = as_of_column(as_of) - F.lit(back)
+    return between_times(df, ts, bound)
 
 
 def as_of_column(as_of) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.timeops import as_of_column
+from sensorloom.functions.timeops import as_of_column, between_times
 from sensorloom.operators.keyed import absent_rows, update_from_map, update_if_exists, upsert
 from sensorloom.plans.clock import Clock
 from sensorloom.schemas import DEFAULT_STATUS, FAILURE_TYPES, SENSORS
@@ -55,8 +55,7 @@ def _stamp(rows: DataFrame, clock: Clock, existing: DataFrame, epochs: int) -> D
         F.lit(DEFAULT_STATUS).alias("status"),
     )
     first, last = clock.time_of(clock.epoch + 1), clock.time_of(clock.epoch + epochs)
-    touched = existing.filter(F.col("timestamp").between(first, last))
-    return absent_rows(touched, stamped, KEYS)
+    return absent_rows(between_times(existing, "timestamp", first, last), stamped, KEYS)
 
 
 def _normal_rows(config: DataFrame, normal: DataFrame, clock: Clock, epochs: int) -> DataFrame:

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.timeops import datediff_boundary, time_slice, time_text, trailing
+from sensorloom.functions.timeops import (
+    DAY,
+    as_of_column,
+    datediff_boundary,
+    newest,
+    on_newest_day,
+    time_slice,
+    time_text,
+    trailing,
+)
 from sensorloom.operators.windows import latest_per
 from sensorloom.schemas import SENSORS
 
@@ -13,24 +22,23 @@ from sensorloom.schemas import SENSORS
 def latest_telemetry(tel: DataFrame) -> DataFrame:
     """Newest reading of every entity."""
     columns = ["entity_id", "timestamp", *SENSORS, "status"]
-    newest = latest_per(tel.select(*columns), "entity_id", "timestamp", few=["status"])
-    return newest.orderBy(F.col("entity_id").asc_nulls_last())
+    last = latest_per(tel.select(*columns), "entity_id", "timestamp", few=["status"])
+    return last.orderBy(F.col("entity_id").asc_nulls_last())
 
 
 def fleet_status(tel: DataFrame, entities: DataFrame, *, fresh_s: int = 10) -> DataFrame:
     """Every known entity with its newest reading and whether it is on line.
 
     On line means within ``fresh_s`` seconds of the newest reading of the
-    whole fleet, which is a one-column scan handed in as a scalar.
+    whole fleet, which is handed in as a scalar.
     """
     readings = tel.select("entity_id", "timestamp", *SENSORS)
-    newest = latest_per(readings, "entity_id", "timestamp")
-    fleet_max = tel.select(F.max("timestamp")).scalar()
-    lag = datediff_boundary("second", F.col("timestamp"), fleet_max)
+    last = latest_per(readings, "entity_id", "timestamp")
+    lag = datediff_boundary("second", F.col("timestamp"), newest(tel, "timestamp"))
     return (
         entities.select("entity_id")
         .distinct()
-        .join(newest, "entity_id", "left")
+        .join(last, "entity_id", "left")
         .select(
             "entity_id",
             F.when(F.col("timestamp").isNull(), "OFFLINE")
@@ -46,8 +54,9 @@ def fleet_status(tel: DataFrame, entities: DataFrame, *, fresh_s: int = 10) -> D
 
 def snapshot_at_max(tel: DataFrame) -> DataFrame:
     """All readings taken at the newest timestamp."""
-    newest = tel.select(F.max("timestamp")).scalar()
-    return tel.filter(F.col("timestamp") == newest).orderBy(F.col("entity_id").asc_nulls_last())
+    columns = [c for c in tel.columns if c != DAY]
+    snapshot = on_newest_day(tel).filter(F.col("timestamp") == newest(tel, "timestamp"))
+    return snapshot.select(*columns).orderBy(F.col("entity_id").asc_nulls_last())
 
 
 def _slice_means(tel: DataFrame, name: str, edge: str, minutes: int, *extra):
@@ -100,8 +109,7 @@ def chart_dashboard(
     tel: DataFrame, *, hours: float = 1, as_of=None, limit: int = 300, minutes: int = 5
 ) -> DataFrame:
     """Slice means since ``as_of - hours``, slices named by their start."""
-    as_of = F.current_timestamp().cast("timestamp_ntz") if as_of is None else as_of
-    recent = trailing(tel, "timestamp", hours=hours, as_of=as_of)
+    recent = trailing(tel, "timestamp", hours=hours, as_of=as_of_column(as_of))
     return _chart(
         _slice_means(recent, "bucket_time", "start", minutes), F.col("bucket_time"), limit
     )

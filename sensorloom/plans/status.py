@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.timeops import datediff_boundary, time_text
+from sensorloom.functions.timeops import datediff_boundary, newest, time_text
 from sensorloom.plans.clock import Clock
 from sensorloom.schemas import FAILURE_TYPES
 
@@ -21,11 +21,11 @@ _PREDICTION = (
 
 def prediction_age_by_entity(cache: DataFrame, tel: DataFrame) -> DataFrame:
     """Minutes from each prediction to the newest reading of its own entity."""
-    newest = tel.groupBy("entity_id").agg(F.max("timestamp").alias("latest_telemetry_time"))
+    last = tel.groupBy("entity_id").agg(F.max("timestamp").alias("latest_telemetry_time"))
     age = datediff_boundary("minute", "prediction_timestamp", "latest_telemetry_time")
     return (
         cache.select(*_PREDICTION)
-        .join(newest, "entity_id", "left")
+        .join(last, "entity_id", "left")
         .withColumn("age_minutes", age)
         .orderBy("entity_id")
     )
@@ -38,8 +38,8 @@ def prediction_age_fleet(
 
     A prediction newer than every reading counts as fresh with age zero.
     """
-    newest = tel.select(F.max("timestamp")).scalar()
-    dated = cache.select(*_PREDICTION).withColumn("latest_telemetry_time", newest)
+    last = newest(tel, "timestamp")
+    dated = cache.select(*_PREDICTION).withColumn("latest_telemetry_time", last)
     behind = F.col("latest_telemetry_time") >= F.col("prediction_timestamp")
     ahead = F.col("latest_telemetry_time") < F.col("prediction_timestamp")
     age = datediff_boundary("minute", "prediction_timestamp", "latest_telemetry_time")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorloom.functions.timeops import DAY
+
 
 @dataclass(frozen=True)
 class VersionedTable:
@@ -66,10 +68,10 @@ class VersionedTable:
                 fs.delete(jvm.org.apache.hadoop.fs.Path(self._folder(version)), True)
 
 
-def append_telemetry(df: DataFrame, path: str) -> None:
-    """Append readings, one folder per day, so later reads prune by date."""
-    dated = df.withColumn("date", F.to_date("timestamp"))
-    dated.write.mode("append").partitionBy("date").parquet(path)
+def append_by_day(df: DataFrame, path: str, *, ts: str = "timestamp") -> None:
+    """Append rows, one folder per day of ``ts``, so that time ranges prune folders."""
+    dated = df.withColumn(DAY, F.to_date(ts))
+    dated.write.mode("append").partitionBy(DAY).parquet(path)
 
 
 def replace_table(df: DataFrame, path: str) -> None:

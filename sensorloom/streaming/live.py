@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sensorloom.functions.timeops import DAY
 from sensorloom.operators.keyed import absent_rows
 from sensorloom.operators.windows import latest_per
 from sensorloom.plans.replay import KEYS
 from sensorloom.schemas import SENSORS
-from sensorloom.sources.versioned import VersionedTable, append_telemetry
+from sensorloom.sources.versioned import VersionedTable, append_by_day
 
 _EVENT_TIME = "_event_time"
 
@@ -75,9 +76,9 @@ def stream_append(
 ) -> StreamingQuery:
     """Append new readings, without the repeats the watermark still knows."""
     rows = stream_deduplicated(stream, watermark=watermark)
-    dated = rows.withColumn("date", F.to_date("timestamp"))
+    dated = rows.withColumn(DAY, F.to_date("timestamp"))
     return write_stream(
-        dated, path, checkpoint=checkpoint, trigger=trigger, partition_by=("date",)
+        dated, path, checkpoint=checkpoint, trigger=trigger, partition_by=(DAY,)
     )
 
 
@@ -90,11 +91,11 @@ def append_batch(batch: DataFrame, path: str) -> None:
     spark = batch.sparkSession
     rows = batch.dropDuplicates(KEYS).persist()
     try:
-        table = spark.read.schema(rows.withColumn("date", F.to_date("timestamp")).schema).parquet(path)
+        table = spark.read.schema(rows.withColumn(DAY, F.to_date("timestamp")).schema).parquet(path)
         day = F.to_date("timestamp")
         first, last = rows.agg(F.min(day), F.max(day)).first()
-        touched = table.filter(F.col("date").between(first, last))
-        append_telemetry(absent_rows(touched, rows, KEYS), path)
+        touched = table.filter(F.col(DAY).between(first, last))
+        append_by_day(absent_rows(touched, rows, KEYS), path)
     finally:
         rows.unpersist()
 
@@ -104,7 +105,7 @@ def stream_append_history(
 ) -> StreamingQuery:
     """Append new readings, checked against everything written before."""
     empty = stream.sparkSession.createDataFrame([], stream.schema)
-    append_telemetry(empty, path)
+    append_by_day(empty, path)
     writer = _writer(stream, checkpoint, trigger)
     return writer.foreachBatch(lambda batch, _: append_batch(batch, path)).start()
 

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sensorloom.operators import keyed
+from sensorloom.operators import keyed, windows
 from sensorloom.operators.windows import latest_per
 
 
@@ -85,6 +85,26 @@ def test_emptied_and_defaults(spark, target):
     assert rows(got) == [("a", 1.0, "NORMAL"), ("b", 2.0, "NORMAL")]
 
 
+def test_window_builders(spark):
+    df = spark.createDataFrame([("a", i, float(i * i)) for i in range(5)], "k string, t int, v double")
+    w = windows.by_entity_time("k", "t")
+    got = df.select(
+        "t",
+        windows.delta("v", w).alias("delta"),
+        windows.slope("v", w, 2.0).alias("slope"),
+        windows.acceleration("v", w).alias("acceleration"),
+        windows.rolling_mean("v", w).alias("rolling"),
+        windows.cumulative_sum("v", w).alias("total"),
+        windows.cumulative_count_if(F.col("v") > 1, w).alias("hits"),
+    ).orderBy("t").collect()
+    assert [r.delta for r in got] == [None, 1, 3, 5, 7]
+    assert [r.slope for r in got] == [None, 0.5, 1.5, 2.5, 3.5]
+    assert [r.acceleration for r in got] == [None, None, 2, 2, 2]
+    assert [round(r.rolling, 6) for r in got] == [0, 0.5, 1.666667, 4.666667, 9.666667]
+    assert [r.total for r in got] == [0, 1, 5, 14, 30]
+    assert [r.hits for r in got] == [0, 0, 1, 2, 3]
+
+
 def test_latest_puts_null_first(spark):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame(

@@ -17,6 +17,7 @@ from sensorloom.schemas import (
     TELEMETRY,
 )
 from sensorloom.sources import derived
+from sensorloom.sources.versioned import append_by_day
 
 START = datetime(2024, 1, 1)
 SF = "/root/testdata/sf0.001"
@@ -292,11 +293,24 @@ def test_clock_defaults(spark):
 
 def test_ranges_reach_the_scans(spark, tmp_path):
     normals_of(spark, 20, "a").write.parquet(str(tmp_path / "normal"))
-    nothing(spark).write.parquet(str(tmp_path / "existing"))
+    append_by_day(tel(spark, ("a", 25), ("a", 86400)), str(tmp_path / "existing"))
     normal, existing = (spark.read.parquet(str(tmp_path / n)) for n in ("normal", "existing"))
     df = replay.backfill_normal(state_of(spark, 3), config_of(spark), normal, existing, epochs=4)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(epoch,4)" in plan and "GreaterThanOrEqual(timestamp,2024-01-01T00:00:20" in plan
+    assert "GreaterThanOrEqual(epoch,4)" in plan
+    assert "PartitionFilters: [isnotnull(date" in plan
+    assert values(df) == [(4, "a", 4.0), (6, "a", 6.0), (7, "a", 7.0)]
+
+
+def test_serving_reads_tables_laid_out_by_day(spark, tmp_path):
+    readings = tel(spark, ("a", 0), ("b", 86400), ("a", 86400), ("a", 86390), ("n", None))
+    append_by_day(readings, str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert rows(serving.snapshot_at_max(table)) == rows(serving.snapshot_at_max(readings))
+    assert serving.snapshot_at_max(table).columns == readings.columns
+    known = readings.select("entity_id")
+    assert rows(serving.fleet_status(table, known)) == rows(serving.fleet_status(readings, known))
+    assert rows(serving.chart_inline(table, hours=1)) == rows(serving.chart_inline(readings, hours=1))
 
 
 def test_state_changes(spark):

@@ -100,7 +100,7 @@ def test_unfinished_version_is_not_read(spark, tmp_path, schema):
 def test_telemetry_is_laid_out_by_day(spark, tmp_path):
     rows = [(datetime(2024, 1, d, 12), "a", 1.0, 2.0, 3.0, "NORMAL") for d in (1, 2, 2)]
     path = str(tmp_path / "tel")
-    versioned.append_telemetry(spark.createDataFrame(rows, TELEMETRY), path)
+    versioned.append_by_day(spark.createDataFrame(rows, TELEMETRY), path)
     back = spark.read.parquet(path)
     assert sorted(p.name for p in (tmp_path / "tel").iterdir() if p.name.startswith("date")) == [
         "date=2024-01-01",

@@ -7,11 +7,13 @@ from sensorloom.functions.checks import any_missing, clamp_at_zero, greatest_or_
 from sensorloom.functions.timeops import (
     datediff_boundary,
     epoch_to_ts,
+    newest,
     ntz,
     time_slice,
     time_text,
     trailing,
 )
+from sensorloom.sources.versioned import append_by_day
 
 
 def ts(*args):
@@ -91,13 +93,19 @@ def test_trailing(spark):
     assert [r.i for r in trailing(df, "t", hours=0.5, as_of=ts(2024, 1, 1, 11, 30)).collect()] == [2, 3]
 
 
-def test_trailing_bound_reaches_the_scan(spark, tmp_path):
-    hours = [ts(2024, 1, 1, h) for h in range(24)]
-    spark.createDataFrame([(h,) for h in hours], "t timestamp_ntz").write.parquet(str(tmp_path / "t"))
-    df = trailing(spark.read.parquet(str(tmp_path / "t")), "t", hours=2)
+def test_ranges_prune_days(spark, tmp_path):
+    path = str(tmp_path / "t")
+    days = [ts(2024, 1, d, h) for d in range(1, 9) for h in (1, 23)]
+    append_by_day(spark.createDataFrame([(d,) for d in [*days, None]], "t timestamp_ntz"), path, ts="t")
+    table = spark.read.parquet(path)
+    df = trailing(table, "t", hours=30)
+    assert sorted(r.t for r in df.collect()) == days[-3:]
     plan = df._jdf.queryExecution().executedPlan().toString()
-    scans = [line for line in plan.splitlines() if "FileScan" in line]
-    assert any(">= Subquery" in line.split("DataFilters")[1] for line in scans), plan
+    filters = [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
+    assert any("date" in f and ">=" in f for f in filters)
+    fixed = trailing(table, "t", hours=24, as_of=ts(2024, 1, 8, 12))
+    assert len(fixed.inputFiles()) and sorted(r.t for r in fixed.collect()) == days[-3:]
+    assert table.select(newest(table, "t").alias("n")).first().n == days[-1]
 
 
 def test_value_checks(spark):
