@@ -18,7 +18,7 @@ from sensorloom.schemas import DEFAULT_STATUS, FAILURE_TYPES, SENSORS
 KEYS = ["timestamp", "entity_id"]
 
 # Epochs per block of the failure-trace join.
-_BLOCK = 720
+_BLOCK = 60
 
 
 def tag_traces(traces: dict[str, DataFrame]) -> DataFrame:
@@ -74,7 +74,9 @@ def _failure_rows(
     An entity reads the trace epochs after its cursor, as many as the range
     holds once the failure is in effect. The range condition is joined by
     blocks of epochs, so an entity costs one row per block before the join,
-    not one per epoch, and the keys are spread over the trace.
+    not one per epoch. The join turns a small table into many readings: the
+    blocks are spread over all partitions first, and even if every entity
+    stands at the same epoch, each block of each type is a key of its own.
     """
     delay = F.greatest(F.lit(0), F.col("eff") - (clock.epoch + 1))
     wanted = _effective(config).select(
@@ -90,8 +92,9 @@ def _failure_rows(
         "block",
         F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))),
     )
+    spread = int(config.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = failure_traces.withColumn("block", F.floor(F.col("epoch") / block))
-    joined = blocks.join(pieces, ["failure_type", "block"]).filter(
+    joined = blocks.repartition(spread, "entity_id", "block").join(pieces, ["failure_type", "block"]).filter(
         F.col("epoch").between(F.col("first"), F.col("last"))
     )
     return joined.select("entity_id", (F.col("epoch") + F.col("shift")).alias("epoch"), *SENSORS)
