@@ -278,26 +278,27 @@ _NEEDS = {
 }
 
 
-# Events seen as readings of their user, and their daily slices.
+# Events seen as readings of their user, and their six-hour slices.
 _EVENT_READINGS = """
-        SELECT ts, 'USER_' || user_id AS entity_id, value AS engine_temp,
+        SELECT ts, 'USER_' || user_id AS entity_id, round(value * 100) AS engine_temp,
                (props->>'$.k')::DOUBLE AS trans_oil_pressure,
                length(event_type)::DOUBLE AS battery_voltage, 'NORMAL' AS status
         FROM events"""
 
 
 def _event_relations() -> dict[str, str]:
-    """The shared relations over event readings and daily slices."""
+    """The shared relations over event readings and six-hour slices."""
     out = {**_RELATIONS, "telemetry": _EVENT_READINGS}
-    out["stats"] = out["stats"].replace("INTERVAL 5 MINUTE", "INTERVAL 1 DAY")
+    out["stats"] = out["stats"].replace("INTERVAL 5 MINUTE", "INTERVAL 6 HOUR")
     for name in ("running", "scored"):
-        out[name] = out[name].replace("5.0::DOUBLE AS slope", "1440.0::DOUBLE AS slope")
-    out["running"] = out["running"].replace("/ 5.0::DOUBLE", "/ 1440.0::DOUBLE")
+        out[name] = out[name].replace("5.0::DOUBLE AS slope", "360.0::DOUBLE AS slope")
+    out["running"] = out["running"].replace("/ 5.0::DOUBLE", "/ 360.0::DOUBLE")
     out["features"] = out["features"].replace("record_count >= 12", "record_count >= 2")
     out["scored"] = (
         out["scored"]
-        .replace("> 206.0::DOUBLE", "> 200.0::DOUBLE")
-        .replace("volatility_delta / 5.0::DOUBLE", "volatility_delta / 1440.0::DOUBLE")
+        .replace("> 206.0::DOUBLE", "> 6000.0::DOUBLE")
+        .replace("250.0::DOUBLE - rolling", "50000.0::DOUBLE - rolling")
+        .replace("volatility_delta / 5.0::DOUBLE", "volatility_delta / 360.0::DOUBLE")
     )
     return out
 
@@ -657,7 +658,7 @@ def all_oracles() -> dict[str, str]:
             ["features"],
             f"""SELECT {_FEATURES} FROM features
                 WHERE feature_timestamp < time_bucket(
-                    INTERVAL 1 DAY, (SELECT max(ts) FROM events) - INTERVAL 2 DAY)""",
+                    INTERVAL 6 HOUR, (SELECT max(ts) FROM events) - INTERVAL 2 DAY)""",
         ),
     }
     return out

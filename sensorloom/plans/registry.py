@@ -153,10 +153,10 @@ def temporal_features_carried(spark, sf_dir):
 
 @query
 def temporal_features_segmented(spark, sf_dir):
-    """Daily slices of the events, each history cut into weeks."""
+    """Six-hour slices of the events, each history cut into weeks."""
     readings = derived.event_readings(derived.table(spark, sf_dir, "events"))
-    stats = features.window_stats(readings, minutes=1440)
-    return features.temporal_features(stats, minutes=1440.0, min_records=2, segment_days=7)
+    stats = features.window_stats(readings, minutes=360)
+    return features.temporal_features(stats, minutes=360.0, min_records=2, segment_days=7)
 
 
 @query
@@ -474,10 +474,10 @@ def _refresh_store(spark, sf_dir) -> RefreshStore:
     stream_refresh(
         _event_stream(spark, sf_dir),
         store,
-        scoring.RuleScorer(hot_engine=200.0, minutes=1440.0),
+        scoring.RuleScorer(hot_engine=6000.0, temp_limit=50000.0, minutes=360.0),
         checkpoint=f"{store.path}/checkpoint",
         lateness="2 days",
-        minutes=1440,
+        minutes=360,
         min_records=2,
         as_of=AS_OF,
     ).awaitTermination()
@@ -486,7 +486,7 @@ def _refresh_store(spark, sf_dir) -> RefreshStore:
 
 @query
 def stream_refresh_cache(spark, sf_dir):
-    """Predictions from daily slices of the events."""
+    """Predictions from six-hour slices of the events."""
     return _refresh_store(spark, sf_dir).cache.read()
 
 

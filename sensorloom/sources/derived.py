@@ -219,11 +219,15 @@ def written_so_far(normal: DataFrame) -> DataFrame:
 
 
 def event_readings(events: DataFrame) -> DataFrame:
-    """Events seen as readings of their user."""
+    """Events seen as readings of their user.
+
+    All three are whole numbers (the value in hundredths), so that sums of
+    them come out the same in any order.
+    """
     return events.select(
         F.col("ts").alias("timestamp"),
         F.concat(F.lit("USER_"), F.col("user_id").cast("string")).alias("entity_id"),
-        F.col("value").alias("engine_temp"),
+        F.round(F.col("value") * 100).alias("engine_temp"),
         F.get_json_object("props", "$.k").cast("double").alias("trans_oil_pressure"),
         F.length("event_type").cast("double").alias("battery_voltage"),
         F.lit(DEFAULT_STATUS).alias("status"),
