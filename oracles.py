@@ -47,13 +47,13 @@ _RELATIONS = {
                END AS failure_type,
                s_acctbal < 4000 AS enabled,
                90 + s_suppkey % 30 AS effective_from_epoch,
-               nullif((s_suppkey * 13) % 700, 0) AS failure_next_epoch,
+               nullif((s_suppkey * 13) % 900, 0) AS failure_next_epoch,
                TIMESTAMP '2024-01-01 00:00:00' AS created_at,
                TIMESTAMP '2024-01-01 00:00:00' + to_seconds(s_suppkey) AS updated_at
         FROM supplier WHERE s_acctbal < 5000""",
     "cache_times": """
         SELECT s_suppkey, s_suppkey % 4 AS kind,
-               TIMESTAMP '2024-01-01 00:00:00' + to_seconds((s_suppkey * 397) % 4200 - 1200) AS made
+               TIMESTAMP '2024-01-01 00:00:00' + to_seconds((s_suppkey * 397) % 4800 - 1200) AS made
         FROM supplier WHERE s_acctbal >= 0""",
     "prediction_cache": """
         SELECT 'TRUCK_' || s_suppkey AS entity_id, made AS prediction_timestamp,

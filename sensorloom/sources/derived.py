@@ -35,14 +35,13 @@ def numbered(df: DataFrame, key: str, order: list[str], *, hot_rows: int = HOT_R
     input for the keys, and two for the pieces, hence the broadcasts.
     """
     lead = order[0]
-    top = df.select(F.max(lead) + 1).scalar()
     hot = (
         df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"), (F.max(lead) + 1).alias("_top"))
         .filter(F.col("_n") > hot_rows)
-        .select(key, F.ceil(F.col("_n") / hot_rows).alias("_pieces"))
+        .select(key, "_top", F.ceil(F.col("_n") / hot_rows).alias("_pieces"))
     )
-    piece = F.floor(F.col(lead) * F.col("_pieces") / top)
+    piece = F.floor(F.col(lead) * F.col("_pieces") / F.col("_top"))
     before = (
         Window.partitionBy(key)
         .orderBy("_piece")
@@ -167,7 +166,7 @@ def failure_config(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         (F.col("s_acctbal") < 4000).alias("enabled"),
         (F.lit(90) + s % 30).alias("effective_from_epoch"),
-        F.nullif((s * 13) % 700, F.lit(0)).alias("failure_next_epoch"),
+        F.nullif((s * 13) % 900, F.lit(0)).alias("failure_next_epoch"),
         ntz(START).alias("created_at"),
         epoch_to_ts(ntz(START), s, 1).alias("updated_at"),
     )
@@ -177,7 +176,7 @@ def prediction_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trucks of suppliers that are not in debt have a cached prediction."""
     s = F.col("s_suppkey")
     kind = s % 4
-    when = epoch_to_ts(ntz(START), (s * 397) % 4200 - 1200, 1)
+    when = epoch_to_ts(ntz(START), (s * 397) % 4800 - 1200, 1)
     name = (
         F.when(kind == 0, "NORMAL")
         .when(kind == 1, "ENGINE_FAILURE")
