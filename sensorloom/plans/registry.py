@@ -420,11 +420,8 @@ def hybrid_prediction_function(spark, sf_dir):
 
 def _event_stream(spark, sf_dir) -> DataFrame:
     events = derived.table(spark, sf_dir, "events")
-    stream = (
-        spark.readStream.schema(events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
+    # A pattern, as a stream may not name a single file; a folder matches as well.
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
     return derived.event_readings(stream)
 
 

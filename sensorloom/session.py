@@ -17,6 +17,10 @@ SESSION_CONF = {
 }
 
 
+# Folders made for local sessions that name none.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; cluster sizing is left to the cluster."""
     for key, value in SESSION_CONF.items():
@@ -36,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    made = tempfile.mkdtemp(prefix="sensorloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="sensorloom-")
+    return _LOCAL_DIRS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -56,7 +61,8 @@ def cut_lineage(df, label: str):
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 
-    Only functions that run in Python inside tasks need it.
+    Only functions that run in Python inside tasks need it. Spark hands the
+    archive from the driver to the executors.
     """
     context = spark.sparkContext
     if getattr(context, "_sensorloom_shipped", False):
