@@ -54,9 +54,16 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(self._folder(usable[-1]))
 
     def write(self, df: DataFrame, version: int | None = None) -> int:
-        """Write ``df`` as a version (the next one by default); returns its number."""
+        """Write ``df`` as a version (the next one by default); returns its number.
+
+        The newest version may be written again; an older one may not, since
+        readers would go on seeing the newer one.
+        """
+        newest = (self.versions() or [0])[-1]
         if version is None:
-            version = (self.versions() or [0])[-1] + 1
+            version = newest + 1
+        if version < newest:
+            raise ValueError(f"{self.path} is at version {newest}, past {version}")
         df.select(*self.schema.names).write.mode("overwrite").parquet(self._folder(version))
         self._forget(version - self.keep)
         return version

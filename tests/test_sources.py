@@ -87,6 +87,8 @@ def test_versions_are_read_back_and_repeated_writes_replace(spark, tmp_path, sch
     assert table.read(up_to=1).count() == 1
     table.write(one)
     assert table.versions() == [2, 3]
+    with pytest.raises(ValueError):
+        table.write(one, 2)
 
 
 def test_unfinished_version_is_not_read(spark, tmp_path, schema):
