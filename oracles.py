@@ -10,7 +10,7 @@ _RELATIONS = {
         ) AS epoch
         FROM lineitem""",
     "normal_seed": """
-        SELECT 'TRUCK_' || l_suppkey AS entity_id, epoch,
+        SELECT 'TRUCK_' || l_suppkey AS entity_id, epoch, l_returnflag,
                180.0::DOUBLE + l_quantity AS engine_temp,
                40.0::DOUBLE + 100.0::DOUBLE * l_discount AS trans_oil_pressure,
                12.0::DOUBLE + 28.0::DOUBLE * l_tax AS battery_voltage
@@ -611,6 +611,16 @@ def all_oracles() -> dict[str, str]:
                                       ELSE failure_next_epoch END AS failure_next_epoch)
                FROM failure_config""",
         ),
+        "load_trace_csv": _with(
+            ["normal_seed"],
+            f"SELECT entity_id, epoch, {_SENSORS} FROM normal_seed WHERE l_returnflag <> 'R'",
+        ),
+        "load_rejects": _with(
+            ["normal_seed"],
+            """SELECT entity_id || ',zz,' || engine_temp::VARCHAR || ','
+                      || trans_oil_pressure::VARCHAR || ',' || battery_voltage::VARCHAR AS line
+               FROM normal_seed WHERE l_returnflag = 'R'""",
+        ),
         "load_audit": _with(
             ["normal_seed", "failure_traces"],
             """SELECT table_name, row_count, table_name || ': ' || row_count || ' rows' AS data

@@ -13,7 +13,7 @@ from sensorloom.functions.timeops import datediff_boundary, time_slice, time_tex
 from sensorloom.operators.keyed import append_if_absent, insert_if_absent, update_where
 from sensorloom.operators.windows import latest_per
 from sensorloom.plans import array_rules, features, models, refresh, replay, scoring, serving, status
-from sensorloom.schemas import DEFAULT_STATUS, FAILURE_TYPES
+from sensorloom.schemas import DEFAULT_STATUS, FAILURE_TYPES, NORMAL_SEED
 from sensorloom.sources import derived, export, traces
 from sensorloom.sources.versioned import VersionedTable
 from sensorloom.streaming import live
@@ -366,6 +366,25 @@ def fill_cursor_defaults(spark, sf_dir):
     )
 
 
+def _trace_files(spark, sf_dir) -> str:
+    path = session.scratch_path(spark, "trace-files")
+    lines = derived.faulty_trace(spark, sf_dir)
+    lines.write.option("header", True).option("compression", "gzip").csv(path)
+    return path
+
+
+@query
+def load_trace_csv(spark, sf_dir):
+    """The good lines of compressed trace files."""
+    return traces.load_trace_csv(spark, _trace_files(spark, sf_dir), NORMAL_SEED)
+
+
+@query
+def load_rejects(spark, sf_dir):
+    """The bad lines of the same files."""
+    return traces.load_rejects(spark, _trace_files(spark, sf_dir), NORMAL_SEED)
+
+
 @query
 def load_audit(spark, sf_dir):
     seeds = derived.failure_seeds(spark, sf_dir)

@@ -75,6 +75,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity",
         "l_discount",
         "l_tax",
+        "l_returnflag",
     )
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     return numbered(lines, "l_suppkey", order)
@@ -84,15 +85,23 @@ def _truck(column: str):
     return F.concat(F.lit("TRUCK_"), F.col(column).cast("string")).alias("entity_id")
 
 
-def normal_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epoch-indexed trace of every truck."""
-    return _ranked(spark, sf_dir).select(
-        _truck("l_suppkey"),
-        "epoch",
+def _sensors():
+    return [
         (F.lit(180.0) + F.col("l_quantity")).alias("engine_temp"),
         (F.lit(40.0) + F.lit(100.0) * F.col("l_discount")).alias("trans_oil_pressure"),
         (F.lit(12.0) + F.lit(28.0) * F.col("l_tax")).alias("battery_voltage"),
-    )
+    ]
+
+
+def normal_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch-indexed trace of every truck."""
+    return _ranked(spark, sf_dir).select(_truck("l_suppkey"), "epoch", *_sensors())
+
+
+def faulty_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trace as text for a file, with no number for returned items' epochs."""
+    epoch = F.when(F.col("l_returnflag") == "R", "zz").otherwise(F.col("epoch").cast("string"))
+    return _ranked(spark, sf_dir).select(_truck("l_suppkey"), epoch.alias("epoch"), *_sensors())
 
 
 def telemetry_of(normal: DataFrame) -> DataFrame:
