@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.session import cut_lineage
+from sensorloom.session import cut_lineage, ship_package
 
 # Slices of a hash in which ranks and running totals are worked out; a slice of
 # a group holds its 4096th part, whatever the group's size.
@@ -180,3 +180,13 @@ def blocks(
     met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cut") - 1)))
     met = met.withColumns({"_left": F.least("_own", "_other"), "_right": F.greatest("_own", "_other")})
     return met.drop("_cut", "_other")
+
+
+# Whole texts are long: batches for Python hold few rows, to bound its memory.
+ARROW_ROWS = 500
+
+
+def prepare(spark) -> None:
+    """Ships this package to the Python workers and bounds what they get at once."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)

@@ -67,3 +67,38 @@ SELECT doc_id, size::BIGINT AS size, n AS source_size, target,
               + CASE WHEN middle <= target - n THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM run
 """
+
+ORACLES["op4_lm_score"] = """
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+tok AS (
+  SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM doc),
+pair AS (
+  SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM tok),
+uni AS (SELECT w, count(*) AS c FROM tok GROUP BY w),
+uni_own AS (SELECT r, w, count(*) AS c FROM tok GROUP BY r, w),
+bi AS (SELECT v, w, count(*) AS c FROM pair WHERE v IS NOT NULL GROUP BY v, w),
+bi_own AS (SELECT r, v, w, count(*) AS c FROM pair WHERE v IS NOT NULL GROUP BY r, v, w),
+everything AS (SELECT count(*) AS n FROM tok),
+one AS (
+  SELECT pair.r, pair.v, bi.c - bi_own.c AS both_n, before.c - before_own.c AS context_n,
+         log10(greatest(uni.c - uni_own.c, 1) / greatest(everything.n - len(doc.ws), 1)::DOUBLE) AS single
+  FROM pair JOIN doc USING (r) CROSS JOIN everything
+  JOIN uni ON uni.w = pair.w
+  JOIN uni_own ON uni_own.r = pair.r AND uni_own.w = pair.w
+  LEFT JOIN uni before ON before.w = pair.v
+  LEFT JOIN uni_own before_own ON before_own.r = pair.r AND before_own.w = pair.v
+  LEFT JOIN bi ON bi.v = pair.v AND bi.w = pair.w
+  LEFT JOIN bi_own ON bi_own.r = pair.r AND bi_own.v = pair.v AND bi_own.w = pair.w),
+total AS (
+  SELECT r, sum(CASE WHEN v IS NULL THEN single WHEN both_n > 0 THEN log10(both_n / context_n::DOUBLE)
+                     ELSE log10(0.4) + single END) AS s
+  FROM one GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 6) AS log_score,
+       round(CASE WHEN len(ws) > 0 THEN s / len(ws) END, 6) AS mean_score
+FROM doc LEFT JOIN total USING (r)
+"""

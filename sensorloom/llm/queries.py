@@ -4,15 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sensorloom import session
-from sensorloom.llm import mixing, sharding, simhash, vectors
+from sensorloom.llm import (
+    decontam,
+    langid,
+    mixing,
+    ngram_lm,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    token_files,
+    vectors,
+)
 from sensorloom.llm.common import table
 from sensorloom.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZER = "byte_bpe_50k.json"
+
 _QUERIES: dict[str, Query] = {}
 
 
@@ -50,3 +64,35 @@ def op2_near_vectors(spark, sf_dir):
 @query
 def op3_simhash(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_language(spark, sf_dir):
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_token_files(spark, sf_dir):
+    folder = session.scratch_path(spark, "tokens")
+    path = public_tokenizers.path(TOKENIZER)
+    return token_files.digest(table(spark, sf_dir, "documents"), folder, path)
+
+
+@query
+def op4_lm_score(spark, sf_dir):
+    return ngram_lm.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_decontamination(spark, sf_dir):
+    return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_personal_data(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))

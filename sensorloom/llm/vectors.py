@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import blocks, components
+from sensorloom.llm.common import blocks, components, prepare
 from sensorloom.llm.pieces import groups, roots
-from sensorloom.session import cut_lineage, ship_package
+from sensorloom.session import cut_lineage
 
 MIN_COSINE = 0.9
 N_TABLES = 8
@@ -200,7 +200,7 @@ def near_duplicates(
     block: int = BLOCK,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding)."""
-    ship_package(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     rows = vectors.select("vec_id", "embedding", usable(F.col("embedding")).alias("_ok"))
     # Zero has two signs; both are the same component of a vector.
     rows = rows.withColumn(
