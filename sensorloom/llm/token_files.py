@@ -20,7 +20,7 @@ from __future__ import annotations
 import os
 import re
 import struct
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +38,9 @@ from sensorloom.session import cut_lineage
 END_ID = 0
 LEVEL = 3
 FRAME_BYTES = 1 << 22
-CACHED = 400_000
+# Chunks met first are remembered, the frequent ones among them; up to about 300 MB.
+CACHED = 1_200_000
+REMEMBERED = 64
 # Fixed values of the zstandard formats.
 SEEK_TABLE_FRAME = 0x184D2A5E
 DOCUMENT_FRAME = 0x184D2A50
@@ -49,6 +51,7 @@ CHECKSUMS = 0x80
 _GAP = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f"[{_GAP}]*[^{_GAP}]+|[{_GAP}]+")
 
+_END = struct.pack("<I", END_ID)
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -75,13 +78,14 @@ class Encoder:
         chunks = _CHUNK.findall(text or "")
         known = self.known
         new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > CACHED:
-                # What is forgotten is encoded again; results do not depend on it.
-                known = self.known = {c: known[c] for c in set(chunks) if c in known}
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[c] for c in chunks]) + struct.pack("<I", END_ID)
+        if not new:
+            return b"".join([known[c] for c in chunks]) + _END
+        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
+        spare = {}
+        for c, e in zip(new, found):
+            keep = known if len(known) < CACHED and len(c) <= REMEMBERED else spare
+            keep[c] = array("I", e.ids).tobytes()
+        return b"".join([known.get(c) or spare[c] for c in chunks]) + _END
 
 
 def _skippable(magic: int, content: bytes) -> bytes:
