@@ -31,8 +31,10 @@ from sensorloom.llm.pieces import text_bytes
 
 ORDER = 2
 BACKOFF = 0.4
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 BUCKET_BITS = 12
+# A total and the place it belongs to within its bucket and block are one number.
+_PLACES = 1 << 20
 _LONG = 64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -85,14 +87,23 @@ def grams(hashes: np.ndarray, owner: np.ndarray, order: int) -> list[tuple[np.nd
     return out
 
 
-def _distinct(texts: list[bytes | None], order: int):
+def _distinct(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a block, sorted, and their counts."""
     hashes, owner = words(texts)
-    found = grams(hashes, owner, order)
-    every = np.concatenate([g[has] for g, has in found])
-    unique, counts = np.unique(every, return_counts=True)
+    every = np.sort(np.concatenate([g[has] for g, has in grams(hashes, owner, order)]))
+    first = _starts(every)
     # The n-gram of no words: as many as there are words.
+    unique = every[first]
+    counts = np.diff(np.append(first, len(every)))
     at = int(np.searchsorted(unique, _EMPTY))
-    return owner, found, np.insert(unique, at, _EMPTY), np.insert(counts, at, len(hashes)), at
+    return np.insert(unique, at, _EMPTY), np.insert(counts, at, len(hashes))
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    if not len(values):
+        return np.empty(0, dtype=np.int64)
+    return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
 
 
 def _bucket_starts(unique: np.ndarray) -> np.ndarray:
@@ -102,7 +113,7 @@ def _bucket_starts(unique: np.ndarray) -> np.ndarray:
 
 def _counted(order: int):
     def run(table: pa.Table) -> pa.Table:
-        _, _, unique, counts, _ = _distinct(text_bytes(table["text"].combine_chunks()), order)
+        unique, counts = _distinct(text_bytes(table["text"].combine_chunks()), order)
         starts = _bucket_starts(unique)
         full = np.flatnonzero(starts[1:] > starts[:-1])
         offsets = pa.array(np.append(starts[full], len(unique)), type=pa.int32())
@@ -111,28 +122,36 @@ def _counted(order: int):
                 "block": pa.array(np.full(len(full), table["block"][0].as_py()), type=pa.int64()),
                 "bucket": pa.array(full, type=pa.int32()),
                 "grams": pa.ListArray.from_arrays(offsets, pa.array(unique.view(np.int64))),
-                "counts": pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+                "counts": pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))),
             }
         )
 
     return run
 
 
-def log_scores(owner, found, unique, totals, empty, n_texts, backoff, own_off=True):
+def log_scores(owner, found, unique, totals, n_texts, backoff, own_off=True):
     """Sum of log10 scores of each text, and its words."""
     n_words = np.bincount(owner, minlength=n_texts)
     seen = []
     for gram, has in found:
-        at = np.searchsorted(unique, gram[has])
-        count = totals[at]
-        if own_off:
-            pair = owner[has].astype(np.int64) * len(unique) + at
-            _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
-            count = count - own[back]
+        # Words are in the order of their texts, and so are equal n-grams once sorted.
+        order = np.argsort(gram, kind="stable")
+        order = order[has[order]]
+        sorted_grams, sorted_owners = gram[order], owner[order]
+        first = _starts(sorted_grams)
+        sizes = np.diff(np.append(first, len(order)))
+        count = np.repeat(totals[np.searchsorted(unique, sorted_grams[first])], sizes)
+        if own_off and len(order):
+            other = sorted_owners[1:] != sorted_owners[:-1]
+            other |= sorted_grams[1:] != sorted_grams[:-1]
+            first = np.concatenate([[0], np.flatnonzero(other) + 1])
+            sizes = np.diff(np.append(first, len(order)))
+            count = count - np.repeat(sizes, sizes)
         whole = np.zeros(len(owner), dtype=np.int64)
-        whole[has] = count
+        whole[order] = count
         seen.append(whole)
-    everything = np.maximum(1, totals[empty] - (n_words[owner] if own_off else 0))
+    everything = totals[np.searchsorted(unique, _EMPTY)]
+    everything = np.maximum(1, everything - (n_words[owner] if own_off else 0))
     score = np.log10(np.maximum(seen[0], 1) / everything)
     for n in range(1, len(found)):
         has = found[n][1]
@@ -148,21 +167,19 @@ def _scored(order: int, backoff: float, own_off: bool):
     def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _SCORES.empty_table()
-        owner, found, unique, counts, empty = _distinct(
-            text_bytes(docs["text"].combine_chunks()), order
-        )
-        totals = counts.astype(np.int64) if own_off else np.zeros(len(counts), dtype=np.int64)
+        texts = text_bytes(docs["text"].combine_chunks())
+        unique, totals = _distinct(texts, order)
+        totals = totals.astype(np.int64) if own_off else np.zeros(len(unique), dtype=np.int64)
         starts = _bucket_starts(unique)
         if sums.num_rows:
-            bucket = sums["bucket"].to_numpy()
             lists = sums["found"].combine_chunks()
             sizes = np.diff(lists.offsets.to_numpy())
-            inner = lists.flatten()
-            at = np.repeat(starts[bucket], sizes) + inner.field("at").to_numpy()
-            totals[at] = inner.field("total").to_numpy()
-        value, n_words = log_scores(
-            owner, found, unique, totals, empty, docs.num_rows, backoff, own_off
-        )
+            news = lists.flatten().to_numpy()
+            at = np.repeat(starts[sums["bucket"].to_numpy()], sizes) + news % _PLACES
+            totals[at] = news // _PLACES
+        hashes, owner = words(texts)
+        found = grams(hashes, owner, order)
+        value, n_words = log_scores(owner, found, unique, totals, docs.num_rows, backoff, own_off)
         return pa.table({"doc_id": docs["doc_id"], "n_words": n_words, "log_score": value}, _SCORES)
 
     return run
@@ -191,7 +208,7 @@ def score(
     documents.
     """
     prepare(docs.sparkSession)
-    schema = "block long, bucket int, grams array<long>, counts array<long>"
+    schema = "block long, bucket int, grams array<long>, counts array<int>"
     blocked = _in_blocks(docs, block_bytes)
     counted = blocked.groupBy("block").applyInArrow(_counted(order), schema)
     given = F.lit(0) if corpus is not None else F.col("count")
@@ -206,14 +223,14 @@ def score(
         "block", "bucket", "asks", F.posexplode(F.arrays_zip("grams", "counts")).alias("at", "g")
     )
     rows = rows.select(
-        "block", "bucket", "asks", "at", F.col("g.grams").alias("gram"), F.col("g.counts").alias("count")
+        "block", "bucket", "asks", "at", F.col("g.grams").alias("gram"), F.col("g.counts").cast("long").alias("count")
     )
     total = F.expr("sum(given) over (partition by bucket, gram)")
     rows = rows.withColumn("given", given).withColumn("total", total)
     # A block knows what only it has.
     news = rows.filter("asks and total != given")
     sums = news.groupBy("bucket", "block").agg(
-        F.collect_list(F.struct("at", "total")).alias("found")
+        F.collect_list(F.col("total") * _PLACES + F.col("at")).alias("found")
     )
     scored = (
         blocked.groupBy("block")
