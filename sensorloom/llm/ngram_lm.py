@@ -31,7 +31,7 @@ from sensorloom.llm.pieces import text_bytes
 
 ORDER = 2
 BACKOFF = 0.4
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 7 << 20
 BUCKET_BITS = 12
 # A total and the place it belongs to within its bucket and block are one number.
 _PLACES = 1 << 20
@@ -54,10 +54,13 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"\n".join(t or b"" for t in texts).lower()
     raw = np.frombuffer(joined, dtype=np.uint8)
     space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    sizes = ends - starts
-    order = np.argsort(-np.minimum(sizes, _LONG), kind="stable")
+    width = np.int32 if len(raw) < 1 << 31 else np.int64
+    changes = space != np.concatenate([[True], space[:-1]])
+    edge = np.flatnonzero(changes).astype(width)
+    if len(edge) % 2:
+        edge = np.append(edge, width(len(raw)))
+    starts, sizes = edge[0::2], edge[1::2] - edge[0::2]
+    order = np.argsort(-np.minimum(sizes, _LONG).astype(np.int8), kind="stable").astype(width)
     first, sizes = starts[order], sizes[order]
     values = np.zeros(len(first), dtype=np.uint64)
     longest = min(_LONG, int(sizes[0])) if len(sizes) else 0
@@ -70,8 +73,8 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         values[i] = xxhash.xxh64_intdigest(joined[first[i] : first[i] + sizes[i]], 1)
     hashes = np.empty_like(values)
     hashes[order] = values
-    begins = np.cumsum([0] + [len(t or b"") + 1 for t in texts])[:-1]
-    return hashes, np.searchsorted(begins, starts, side="right") - 1
+    begins = np.cumsum([0] + [len(t or b"") + 1 for t in texts])[:-1].astype(width)
+    return hashes, (np.searchsorted(begins, starts, side="right") - 1).astype(np.int32)
 
 
 def grams(hashes: np.ndarray, owner: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
