@@ -635,6 +635,10 @@ def all_oracles() -> dict[str, str]:
             ["array_predictions"], f"SELECT {_CACHE} FROM array_predictions"
         ),
         "stream_agg_5min": _with_events(
+            ["agg"],
+            f"SELECT bucket_time, entity_id, {_MEANS}, point_count, latest_timestamp FROM agg",
+        ),
+        "stream_agg_5min_closed": _with_events(
             ["agg"],
             f"""SELECT bucket_time, entity_id, {_MEANS}, point_count, latest_timestamp FROM agg
                 WHERE bucket_time <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
@@ -664,6 +668,7 @@ def all_oracles() -> dict[str, str]:
                       TIMESTAMP '2024-01-01 02:00:00' AS last_updated
                FROM predictions WHERE predicted_failure_type <> 'NORMAL'""",
         ),
+        "stream_features_all": _with_events(["features"], f"SELECT {_FEATURES} FROM features"),
         "stream_features": _with_events(
             ["features"],
             f"""SELECT {_FEATURES} FROM features

@@ -60,48 +60,54 @@ def epoch_to_ts(start: Column, epoch: Column, step_seconds) -> Column:
     return start + F.lit(timedelta(seconds=1)) * (epoch * step)
 
 
-def on_newest_day(df: DataFrame) -> DataFrame:
-    """The newest day of a table laid out by day; any other table as it is."""
-    if DAY not in df.columns:
+def on_newest_day(df: DataFrame, day: str | None) -> DataFrame:
+    """The newest day of a table laid out by the column ``day``; any other table as it is."""
+    if day is None:
         return df
-    return df.filter(F.col(DAY) == df.select(F.max(DAY)).scalar())
+    return df.filter(F.col(day) == df.select(F.max(day)).scalar())
 
 
-def newest(df: DataFrame, ts: str, *, back: timedelta | None = None) -> Column:
+def newest(
+    df: DataFrame, ts: str, *, back: timedelta | None = None, day: str | None = None
+) -> Column:
     """The greatest ``ts`` as a scalar, less ``back``.
 
-    A table laid out by day is asked for its newest day first, and only that
-    day is read.
+    A table laid out by ``day``, which must be the day of ``ts``, is asked for
+    its newest day first, and only that day is read.
     """
     value = F.max(ts) if back is None else F.max(ts) - F.lit(back)
-    return on_newest_day(df).select(value.alias("newest")).scalar()
+    return on_newest_day(df, day).select(value.alias("newest")).scalar()
 
 
-def between_times(df: DataFrame, ts: str, first: Column, last: Column | None = None) -> DataFrame:
+def between_times(
+    df: DataFrame, ts: str, first: Column, last: Column | None = None, *, day: str | None = None
+) -> DataFrame:
     """Rows from ``first`` to ``last``, both included.
 
     Parquet files keep no usable statistics for zone-free timestamps, so the
-    range is also put on the day column of tables laid out by day, where it
-    prunes whole folders.
+    range is also put on ``day``, the column a table is laid out by, where it
+    prunes whole folders. A column is never taken for one by its name.
     """
     inside = F.col(ts) >= first
     if last is not None:
         inside = inside & (F.col(ts) <= last)
-    if DAY in df.columns:
-        inside = inside & (F.col(DAY) >= F.to_date(first))
+    if day is not None:
+        inside = inside & (F.col(day) >= F.to_date(first))
         if last is not None:
-            inside = inside & (F.col(DAY) <= F.to_date(last))
+            inside = inside & (F.col(day) <= F.to_date(last))
     return df.filter(inside)
 
 
-def trailing(df: DataFrame, ts: str, *, hours: float, as_of=None) -> DataFrame:
+def trailing(
+    df: DataFrame, ts: str, *, hours: float, as_of=None, day: str | None = None
+) -> DataFrame:
     """Rows of the last ``hours`` before ``as_of``, or before the newest ``ts``."""
     back = timedelta(hours=hours)
     if as_of is None:
-        bound = newest(df, ts, back=back)
+        bound = newest(df, ts, back=back, day=day)
     else:
         bound = as_of_column(as_of) - F.lit(back)
-    return between_times(df, ts, bound)
+    return between_times(df, ts, bound, day=day)
 
 
 def as_of_column(as_of) -> Column:

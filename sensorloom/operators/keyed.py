@@ -130,10 +130,13 @@ def update_if_exists(
 def update_from_map(target: DataFrame, updates: DataFrame, key) -> DataFrame:
     """Overwrite columns of the rows whose key appears in ``updates``.
 
-    Keys missing from ``target`` are ignored, unlike in ``upsert``.
+    Keys missing from ``target`` are ignored, unlike in ``upsert``. Of several
+    updates of a key the greatest counts, so no row of ``target`` is repeated.
     """
     keys = _names(key)
     fresh = [c for c in updates.columns if c not in keys]
+    updates = updates.groupBy(*keys).agg(F.max(F.struct(*fresh)).alias("_u"))
+    updates = updates.select(*keys, *[F.col(f"_u.{c}").alias(c) for c in fresh])
     renamed = updates.select(
         *[F.col(c).alias(f"_u_{c}") for c in updates.columns], F.lit(True).alias("_given")
     )

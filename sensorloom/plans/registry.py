@@ -18,6 +18,7 @@ from sensorloom.sources import derived, export, traces
 from sensorloom.sources.versioned import VersionedTable
 from sensorloom.streaming import live
 from sensorloom.streaming.refresh import RefreshStore, stream_refresh
+from sensorloom.streaming.slices import HistoryRefresh, SliceLog, stream_refresh_history, stream_slices
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -444,8 +445,30 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     return derived.event_readings(stream)
 
 
+def _shuffled_events(spark, sf_dir) -> DataFrame:
+    """The events as eight files in no order of time, one to a micro-batch."""
+    path = session.scratch_path(spark, "event-files")
+    events = derived.table(spark, sf_dir, "events")
+    piece = F.pmod(F.xxhash64("event_id"), F.lit(8))
+    events.repartitionByRange(8, piece).write.parquet(path)
+    files = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return derived.event_readings(files.parquet(path))
+
+
 @query
 def stream_agg_5min(spark, sf_dir):
+    """Means of all slices, from files in any order."""
+    base = session.scratch_path(spark, "stream-slices")
+    log = SliceLog(spark, f"{base}/log")
+    stream_slices(
+        _shuffled_events(spark, sf_dir), log, checkpoint=f"{base}/checkpoint"
+    ).awaitTermination()
+    return log.means()
+
+
+@query
+def stream_agg_5min_closed(spark, sf_dir):
+    """Means of the slices that the watermark has closed, from one file."""
     base = session.scratch_path(spark, "stream-agg")
     rows = live.stream_agg_5min(_event_stream(spark, sf_dir), watermark="10 minutes")
     live.write_stream(rows, f"{base}/out", checkpoint=f"{base}/checkpoint").awaitTermination()
@@ -463,12 +486,12 @@ def stream_latest(spark, sf_dir):
 
 @query
 def stream_append(spark, sf_dir):
-    """Every event delivered twice, appended once."""
+    """Every event delivered twice, in files in any order, appended once."""
     base = session.scratch_path(spark, "stream-append")
-    stream = _event_stream(spark, sf_dir)
-    twice = stream.unionByName(_event_stream(spark, sf_dir))
-    live.stream_append(
-        twice, f"{base}/out", watermark="10 minutes", checkpoint=f"{base}/checkpoint"
+    stream = _shuffled_events(spark, sf_dir)
+    twice = stream.unionByName(_shuffled_events(spark, sf_dir))
+    live.stream_append_history(
+        twice, f"{base}/out", checkpoint=f"{base}/checkpoint"
     ).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
@@ -485,12 +508,15 @@ def stream_append_history(spark, sf_dir):
     return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
 
+_EVENT_RULES = scoring.RuleScorer(hot_engine=6000.0, temp_limit=50000.0, minutes=360.0)
+
+
 def _refresh_store(spark, sf_dir) -> RefreshStore:
     store = RefreshStore(spark, session.scratch_path(spark, "stream-refresh"))
     stream_refresh(
         _event_stream(spark, sf_dir),
         store,
-        scoring.RuleScorer(hot_engine=6000.0, temp_limit=50000.0, minutes=360.0),
+        _EVENT_RULES,
         checkpoint=f"{store.path}/checkpoint",
         lateness="2 days",
         minutes=360,
@@ -500,10 +526,27 @@ def _refresh_store(spark, sf_dir) -> RefreshStore:
     return store
 
 
+def _history_refresh(spark, sf_dir) -> HistoryRefresh:
+    base = session.scratch_path(spark, "history-refresh")
+    job = HistoryRefresh(
+        SliceLog(spark, f"{base}/log", minutes=360), _EVENT_RULES, min_records=2, as_of=AS_OF
+    )
+    stream_refresh_history(
+        _shuffled_events(spark, sf_dir), job, checkpoint=f"{base}/checkpoint"
+    ).awaitTermination()
+    return job
+
+
 @query
 def stream_refresh_cache(spark, sf_dir):
-    """Predictions from six-hour slices of the events."""
-    return _refresh_store(spark, sf_dir).cache.read()
+    """Predictions from six-hour slices of the events, in files in any order."""
+    return _history_refresh(spark, sf_dir).cache.read()
+
+
+@query
+def stream_features_all(spark, sf_dir):
+    """Features of all slices of the same stream."""
+    return _history_refresh(spark, sf_dir).features()
 
 
 @query

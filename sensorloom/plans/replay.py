@@ -43,10 +43,13 @@ def _effective(config: DataFrame) -> DataFrame:
     )
 
 
-def _stamp(rows: DataFrame, clock: Clock, existing: DataFrame, epochs: int) -> DataFrame:
+def _stamp(
+    rows: DataFrame, clock: Clock, existing: DataFrame, epochs: int, day: str | None = None
+) -> DataFrame:
     """Give rows their time and drop those already there.
 
-    Only the touched time range of ``existing`` is read.
+    Only the touched time range of ``existing`` is read, and only its days if
+    it is laid out by ``day``.
     """
     stamped = rows.select(
         clock.time_of(F.col("epoch")).alias("timestamp"),
@@ -55,7 +58,8 @@ def _stamp(rows: DataFrame, clock: Clock, existing: DataFrame, epochs: int) -> D
         F.lit(DEFAULT_STATUS).alias("status"),
     )
     first, last = clock.time_of(clock.epoch + 1), clock.time_of(clock.epoch + epochs)
-    return absent_rows(between_times(existing, "timestamp", first, last), stamped, KEYS)
+    there = between_times(existing, "timestamp", first, last, day=day)
+    return absent_rows(there, stamped, KEYS)
 
 
 def _normal_rows(config: DataFrame, normal: DataFrame, clock: Clock, epochs: int) -> DataFrame:
@@ -101,11 +105,17 @@ def _failure_rows(
 
 
 def backfill_normal(
-    state: DataFrame, config: DataFrame, normal: DataFrame, existing: DataFrame, *, epochs: int
+    state: DataFrame,
+    config: DataFrame,
+    normal: DataFrame,
+    existing: DataFrame,
+    *,
+    epochs: int,
+    day: str | None = None,
 ) -> DataFrame:
     """New readings of the next ``epochs`` epochs from the normal traces."""
     clock = Clock.of(state)
-    return _stamp(_normal_rows(config, normal, clock, epochs), clock, existing, epochs)
+    return _stamp(_normal_rows(config, normal, clock, epochs), clock, existing, epochs, day)
 
 
 def backfill_failure(
@@ -115,10 +125,12 @@ def backfill_failure(
     existing: DataFrame,
     *,
     epochs: int,
+    day: str | None = None,
 ) -> DataFrame:
     """New readings of the next ``epochs`` epochs from the failure traces."""
     clock = Clock.of(state)
-    return _stamp(_failure_rows(config, failure_traces, clock, epochs), clock, existing, epochs)
+    rows = _failure_rows(config, failure_traces, clock, epochs)
+    return _stamp(rows, clock, existing, epochs, day)
 
 
 def replay_tick(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.timeops import (
-    DAY,
     as_of_column,
     datediff_boundary,
     newest,
@@ -26,7 +25,9 @@ def latest_telemetry(tel: DataFrame) -> DataFrame:
     return last.orderBy(F.col("entity_id").asc_nulls_last())
 
 
-def fleet_status(tel: DataFrame, entities: DataFrame, *, fresh_s: int = 10) -> DataFrame:
+def fleet_status(
+    tel: DataFrame, entities: DataFrame, *, fresh_s: int = 10, day: str | None = None
+) -> DataFrame:
     """Every known entity with its newest reading and whether it is on line.
 
     On line means within ``fresh_s`` seconds of the newest reading of the
@@ -34,7 +35,7 @@ def fleet_status(tel: DataFrame, entities: DataFrame, *, fresh_s: int = 10) -> D
     """
     readings = tel.select("entity_id", "timestamp", *SENSORS)
     last = latest_per(readings, "entity_id", "timestamp")
-    lag = datediff_boundary("second", F.col("timestamp"), newest(tel, "timestamp"))
+    lag = datediff_boundary("second", F.col("timestamp"), newest(tel, "timestamp", day=day))
     return (
         entities.select("entity_id")
         .distinct()
@@ -52,10 +53,11 @@ def fleet_status(tel: DataFrame, entities: DataFrame, *, fresh_s: int = 10) -> D
     )
 
 
-def snapshot_at_max(tel: DataFrame) -> DataFrame:
-    """All readings taken at the newest timestamp."""
-    columns = [c for c in tel.columns if c != DAY]
-    snapshot = on_newest_day(tel).filter(F.col("timestamp") == newest(tel, "timestamp"))
+def snapshot_at_max(tel: DataFrame, *, day: str | None = None) -> DataFrame:
+    """All readings taken at the newest timestamp, without the column of the layout."""
+    columns = [c for c in tel.columns if c != day]
+    last = newest(tel, "timestamp", day=day)
+    snapshot = on_newest_day(tel, day).filter(F.col("timestamp") == last)
     return snapshot.select(*columns).orderBy(F.col("entity_id").asc_nulls_last())
 
 
@@ -92,24 +94,39 @@ def _chart(buckets: DataFrame, time, limit: int) -> DataFrame:
     )
 
 
-def chart_from_agg(agg: DataFrame, *, hours: float, limit: int = 2000) -> DataFrame:
+def chart_from_agg(
+    agg: DataFrame, *, hours: float, limit: int = 2000, day: str | None = None
+) -> DataFrame:
     """Whole slices of the last ``hours`` from the slice table."""
-    return _chart(trailing(agg, "bucket_time", hours=hours), time_text("bucket_time"), limit)
+    return _chart(trailing(agg, "bucket_time", hours=hours, day=day), time_text("bucket_time"), limit)
 
 
-def chart_inline(tel: DataFrame, *, hours: float, limit: int = 2000, minutes: int = 5) -> DataFrame:
+def chart_inline(
+    tel: DataFrame,
+    *,
+    hours: float,
+    limit: int = 2000,
+    minutes: int = 5,
+    day: str | None = None,
+) -> DataFrame:
     """Slice means over readings of the last ``hours``; the first slice may be partial."""
-    recent = trailing(tel, "timestamp", hours=hours)
+    recent = trailing(tel, "timestamp", hours=hours, day=day)
     return _chart(
         _slice_means(recent, "bucket_time", "end", minutes), time_text("bucket_time"), limit
     )
 
 
 def chart_dashboard(
-    tel: DataFrame, *, hours: float = 1, as_of=None, limit: int = 300, minutes: int = 5
+    tel: DataFrame,
+    *,
+    hours: float = 1,
+    as_of=None,
+    limit: int = 300,
+    minutes: int = 5,
+    day: str | None = None,
 ) -> DataFrame:
     """Slice means since ``as_of - hours``, slices named by their start."""
-    recent = trailing(tel, "timestamp", hours=hours, as_of=as_of_column(as_of))
+    recent = trailing(tel, "timestamp", hours=hours, as_of=as_of_column(as_of), day=day)
     return _chart(
         _slice_means(recent, "bucket_time", "start", minutes), F.col("bucket_time"), limit
     )

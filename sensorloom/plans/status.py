@@ -32,13 +32,18 @@ def prediction_age_by_entity(cache: DataFrame, tel: DataFrame) -> DataFrame:
 
 
 def prediction_age_fleet(
-    cache: DataFrame, tel: DataFrame, *, fresh_min: int = 5, stale_min: int = 60
+    cache: DataFrame,
+    tel: DataFrame,
+    *,
+    fresh_min: int = 5,
+    stale_min: int = 60,
+    day: str | None = None,
 ) -> DataFrame:
     """Age against the newest reading of the fleet, its colour, and a display key.
 
     A prediction newer than every reading counts as fresh with age zero.
     """
-    last = newest(tel, "timestamp")
+    last = newest(tel, "timestamp", day=day)
     dated = cache.select(*_PREDICTION).withColumn("latest_telemetry_time", last)
     behind = F.col("latest_telemetry_time") >= F.col("prediction_timestamp")
     ahead = F.col("latest_telemetry_time") < F.col("prediction_timestamp")

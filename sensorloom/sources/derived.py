@@ -17,50 +17,38 @@ START = "2024-01-01 00:00:00"
 STEP = 5
 CLOCK = 100
 
-# Rows of one truck that a single task ranks.
-HOT_ROWS = 4_000_000
+# Pieces of the order in which rows are ranked.
+PIECES = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, key: str, order: list[str], *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[str], *, pieces: int = PIECES) -> DataFrame:
     """``df`` with ``epoch`` 1..n per key in the given order.
 
-    A key with more than ``hot_rows`` rows is not ranked in one task: the range
-    of the first order column is cut into pieces for it, its rows are ranked
-    within a piece and offset by the counts of the pieces before. The frames
-    that describe the hot keys have at most one row per ``hot_rows`` rows of
-    input for the keys, and two for the pieces, hence the broadcasts.
+    The order is cut at quantiles of its first column into pieces of about the
+    same number of rows. Rows are ranked within a piece and offset by the
+    counts of the pieces before, whatever the number of rows of a key. Rows
+    with one value of that column stay together.
     """
     lead = order[0]
-    hot = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"), (F.max(lead) + 1).alias("_top"))
-        .filter(F.col("_n") > hot_rows)
-        .select(key, "_top", F.ceil(F.col("_n") / hot_rows).alias("_pieces"))
+    steps = [i / pieces for i in range(1, pieces)]
+    cuts = df.agg(F.percentile_approx(lead, steps, 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+    # A null comes first in the order and is beyond no bound.
+    place = F.size(F.filter(bounds, lambda b: b < F.col(lead))) if cuts else F.lit(0)
+    rows = df.withColumns({"_key": F.struct(key), "_piece": place})
+    before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_key", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(
+        "_key", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_offset")
     )
-    piece = F.floor(F.col(lead) * F.col("_pieces") / F.col("_top"))
-    before = (
-        Window.partitionBy(key)
-        .orderBy("_piece")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        df.select(key, lead)
-        .join(F.broadcast(hot), key)
-        .groupBy(key, piece.alias("_piece"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, "_piece", F.sum("_n").over(before).alias("_offset"))
-    )
-    within = Window.partitionBy(key, "_piece").orderBy(*order)
-    start = F.coalesce("_offset", F.lit(0).cast("long"))
+    within = Window.partitionBy("_key", "_piece").orderBy(*order)
     return (
-        df.join(F.broadcast(hot), key, "left")
-        .withColumn("_piece", F.coalesce(piece, F.lit(0).cast("long")))
-        .join(F.broadcast(offsets), [key, "_piece"], "left")
-        .withColumn("epoch", start + F.row_number().over(within))
+        rows.join(offsets, ["_key", "_piece"])
+        .withColumn("epoch", F.col("_offset") + F.row_number().over(within))
         .select(*df.columns, "epoch")
     )
 

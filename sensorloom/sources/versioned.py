@@ -1,8 +1,11 @@
 """Small keyed tables kept as numbered Parquet versions.
 
 A version is written whole beside the one being read and counts once its
-``_SUCCESS`` marker is there, so a job that dies half-way leaves the table as
-it was, and writing the same version again replaces the half-written one.
+marker file is there, which this module writes last, so a job that dies half-way
+leaves the table as it was, and writing the same version again replaces the
+half-written one. The marker does not depend on how Spark commits its output.
+
+The ``keep`` newest versions stay; a reader has that many writes to finish.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import types as T
 
 from sensorloom.functions.timeops import DAY
 
+_MARKER = "_COMPLETE"
+
 
 @dataclass(frozen=True)
 class VersionedTable:
@@ -41,7 +46,7 @@ class VersionedTable:
         found = []
         for status in fs.listStatus(root):
             name = status.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+            done = jvm.org.apache.hadoop.fs.Path(status.getPath(), _MARKER)
             if name.startswith("v=") and fs.exists(done):
                 found.append(int(name[2:]))
         return sorted(found)
@@ -65,6 +70,8 @@ class VersionedTable:
         if version < newest:
             raise ValueError(f"{self.path} is at version {newest}, past {version}")
         df.select(*self.schema.names).write.mode("overwrite").parquet(self._folder(version))
+        _, fs, jvm = self._fs()
+        fs.create(jvm.org.apache.hadoop.fs.Path(self._folder(version), _MARKER)).close()
         self._forget(version - self.keep)
         return version
 

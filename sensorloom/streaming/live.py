@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sensorloom.functions.timeops import DAY
-from sensorloom.operators.keyed import absent_rows
 from sensorloom.operators.windows import latest_per
 from sensorloom.plans.replay import KEYS
 from sensorloom.schemas import SENSORS
@@ -74,7 +73,11 @@ def write_stream(
 def stream_append(
     stream: DataFrame, path: str, *, watermark: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Append new readings, without the repeats the watermark still knows."""
+    """Append new readings, without the repeats the watermark still knows.
+
+    Readings later than the watermark are left out: for sources in time order
+    only. ``stream_append_history`` takes files in any order.
+    """
     rows = stream_deduplicated(stream, watermark=watermark)
     dated = rows.withColumn(DAY, F.to_date("timestamp"))
     return write_stream(
@@ -86,18 +89,18 @@ def append_batch(batch: DataFrame, path: str) -> None:
     """Append the readings of a batch that the table does not hold yet.
 
     Only the dates that the batch touches are read, so a replayed batch adds
-    nothing and an old table costs nothing.
+    nothing and an old table costs nothing. A reading without a time or an
+    entity is one reading too. The batch is read twice, not held.
     """
     spark = batch.sparkSession
-    rows = batch.dropDuplicates(KEYS).persist()
-    try:
-        table = spark.read.schema(rows.withColumn(DAY, F.to_date("timestamp")).schema).parquet(path)
-        day = F.to_date("timestamp")
-        first, last = rows.agg(F.min(day), F.max(day)).first()
-        touched = table.filter(F.col(DAY).between(first, last))
-        append_by_day(absent_rows(touched, rows, KEYS), path)
-    finally:
-        rows.unpersist()
+    rows = batch.dropDuplicates(KEYS)
+    table = spark.read.schema(rows.withColumn(DAY, F.to_date("timestamp")).schema).parquet(path)
+    day = F.to_date("timestamp")
+    first, last = batch.agg(F.min(day), F.max(day)).first()
+    touched = table.filter(F.col(DAY).between(first, last) | F.col(DAY).isNull())
+    there = touched.select(*[F.col(k).alias(f"_t_{k}") for k in KEYS])
+    same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in KEYS]
+    append_by_day(rows.join(there, same, "left_anti"), path)
 
 
 def stream_append_history(

@@ -74,6 +74,12 @@ def test_update_from_map_ignores_unknown_keys_and_sets_null(spark, target):
     assert rows(keyed.update_from_map(target, updates, "k")) == [("a", None), ("b", 2.0)]
 
 
+def test_update_from_map_does_not_multiply(spark, target):
+    updates = spark.createDataFrame([("a", 5.0), ("a", 7.0), ("a", None)], "k string, v double")
+    twice = target.unionByName(target)
+    assert rows(keyed.update_from_map(twice, updates, "k")) == [("a", 7.0)] * 2 + [("b", 2.0)] * 2
+
+
 def test_delete_not_in(spark, target):
     keep = spark.createDataFrame([("b",), ("b",)], "k string")
     assert rows(keyed.delete_not_in(target, keep, "k")) == [("b", 2.0)]

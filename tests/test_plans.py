@@ -6,7 +6,7 @@ from pyspark.sql import Window
 
 from sensorloom.operators.keyed import append_if_absent
 from sensorloom.plans import refresh, replay, serving, status
-from sensorloom.plans.clock import Clock
+from sensorloom.plans.clock import STREAM, Clock
 from sensorloom.schemas import (
     FAILURE_CONFIG,
     FAILURE_TRACES,
@@ -145,7 +145,7 @@ def test_trace_lengths_name_empty_types(spark):
 
 
 def state_of(spark, epoch, step=5):
-    return spark.createDataFrame([("s", START, epoch, step, START)], STREAM_STATE)
+    return spark.createDataFrame([(STREAM, START, epoch, step, START)], STREAM_STATE)
 
 
 def config_of(spark, *entries):
@@ -295,7 +295,7 @@ def test_ranges_reach_the_scans(spark, tmp_path):
     normals_of(spark, 20, "a").write.parquet(str(tmp_path / "normal"))
     append_by_day(tel(spark, ("a", 25), ("a", 86400)), str(tmp_path / "existing"))
     normal, existing = (spark.read.parquet(str(tmp_path / n)) for n in ("normal", "existing"))
-    df = replay.backfill_normal(state_of(spark, 3), config_of(spark), normal, existing, epochs=4)
+    df = replay.backfill_normal(state_of(spark, 3), config_of(spark), normal, existing, epochs=4, day="date")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(epoch,4)" in plan
     assert "PartitionFilters: [isnotnull(date" in plan
@@ -306,11 +306,11 @@ def test_serving_reads_tables_laid_out_by_day(spark, tmp_path):
     readings = tel(spark, ("a", 0), ("b", 86400), ("a", 86400), ("a", 86390), ("n", None))
     append_by_day(readings, str(tmp_path / "t"))
     table = spark.read.parquet(str(tmp_path / "t"))
-    assert rows(serving.snapshot_at_max(table)) == rows(serving.snapshot_at_max(readings))
-    assert serving.snapshot_at_max(table).columns == readings.columns
+    assert rows(serving.snapshot_at_max(table, day="date")) == rows(serving.snapshot_at_max(readings))
+    assert serving.snapshot_at_max(table, day="date").columns == readings.columns
     known = readings.select("entity_id")
-    assert rows(serving.fleet_status(table, known)) == rows(serving.fleet_status(readings, known))
-    assert rows(serving.chart_inline(table, hours=1)) == rows(serving.chart_inline(readings, hours=1))
+    assert rows(serving.fleet_status(table, known, day="date")) == rows(serving.fleet_status(readings, known))
+    assert rows(serving.chart_inline(table, hours=1, day="date")) == rows(serving.chart_inline(readings, hours=1))
 
 
 def test_state_changes(spark):
@@ -320,12 +320,35 @@ def test_state_changes(spark):
     assert replay.advance_clock(state_of(spark, 7), epochs=3).first().next_epoch == 10
 
 
-def test_hot_keys_are_numbered_in_pieces(spark):
+def test_a_clock_is_found_by_name(spark):
+    rows = [("OTHER", START, 7, 5, START), (STREAM, START, 100, 5, START)]
+    state = spark.createDataFrame(rows, STREAM_STATE)
+    assert Clock.of(state).epoch == 100 and Clock.of(state, stream="OTHER").epoch == 7
+    with pytest.raises(ValueError):
+        Clock.of(state.unionByName(state))
+
+
+def test_a_foreign_date_column_changes_nothing(spark):
+    readings = tel(spark, ("a", 1080), ("b", 1140))
+    odd = readings.withColumn("date", F.when(F.col("entity_id") == "a", F.lit("2030-01-01")).otherwise("1970-01-01"))
+    assert [r.entity_id for r in serving.snapshot_at_max(odd).collect()] == ["b"]
+    assert "date" in serving.snapshot_at_max(odd).columns
+
+
+@pytest.mark.parametrize("pieces", [1, 7, 64])
+def test_rows_are_numbered_in_pieces(spark, pieces):
     lines = derived.table(spark, SF, "lineitem").withColumn(
         "l_suppkey", F.when(F.col("l_orderkey") % 3 == 0, 7).otherwise(F.col("l_suppkey"))
     )
+    odd = F.when(F.col("l_linenumber") == 2, None).when(F.col("l_orderkey") % 5 == 0, 1 << 60)
+    lines = lines.withColumn(
+        "l_orderkey", F.when(F.col("l_orderkey") % 7 == 0, odd).otherwise(F.col("l_orderkey") - 300)
+    ).withColumn("l_suppkey", F.when(F.col("l_suppkey") != 3, F.col("l_suppkey")))
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    got = derived.numbered(lines, "l_suppkey", order, hot_rows=300)
+    got = derived.numbered(lines, "l_suppkey", order, pieces=pieces)
     w = Window.partitionBy("l_suppkey").orderBy(*order)
     plain = lines.withColumn("epoch", F.row_number().over(w).cast("long"))
-    assert got.exceptAll(plain).count() == 0 and got.count() == 6000
+    assert got.select("l_suppkey", *order, "epoch").exceptAll(
+        plain.select("l_suppkey", *order, "epoch")
+    ).count() == 0
+    assert got.count() == 6000

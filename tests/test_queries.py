@@ -6,10 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+import oracles
+from sensorloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = registry.all_queries()
+ORACLES = oracles.all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +58,8 @@ def test_every_oracle_has_a_query():
 
 def test_flagship_query(spark):
     assert entry_points.entry(spark).count() == 10
+
+
+def test_all_queries_are_registered():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())

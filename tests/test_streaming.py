@@ -9,6 +9,7 @@ from sensorloom.sources import derived
 from sensorloom.sources.versioned import VersionedTable
 from sensorloom.streaming import live
 from sensorloom.streaming.refresh import RefreshStore, refresh_batch, stream_refresh
+from sensorloom.streaming.slices import HistoryRefresh, SliceLog
 
 START = datetime(2024, 1, 1)
 SF = "/root/testdata/sf0.001"
@@ -97,6 +98,44 @@ def test_append_against_history(spark, fleet, tmp_path):
     assert same(got, tel.unionByName(readings(spark, ("new", 86400))))
 
 
+def test_a_reading_without_time_is_appended_once(spark, tmp_path):
+    batch = readings(spark, ("a", 10), ("b", 20)).withColumn(
+        "timestamp", F.when(F.col("entity_id") == "a", F.col("timestamp"))
+    )
+    live.append_by_day(batch.limit(0), str(tmp_path / "out"))
+    for _ in range(2):
+        live.append_batch(batch, str(tmp_path / "out"))
+    assert same(spark.read.parquet(str(tmp_path / "out")).drop("date"), batch)
+
+
+@pytest.mark.parametrize("batches", [1, 8])
+def test_slices_do_not_depend_on_files(spark, fleet, tmp_path, batches):
+    tel, _ = fleet
+    job = HistoryRefresh(
+        SliceLog(spark, str(tmp_path / "log")), scoring.RuleScorer(), as_of=START
+    )
+    for i in range(batches):
+        part = tel.filter(F.pmod(F.xxhash64("timestamp", "entity_id"), F.lit(batches)) == i)
+        job.each(part, i)
+    job.each(part, batches - 1)
+    assert same(job.log.means(), serving.agg_5min(tel))
+    full = features.temporal_features(features.window_stats(tel))
+    assert same(job.features(), full)
+    expected = scoring.hybrid_prediction(full, scoring.RuleScorer())
+    assert same(job.cache.read().drop("last_updated"), expected)
+
+
+def test_versions_count_without_success_markers(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        table = VersionedTable(spark, str(tmp_path / "t"), TELEMETRY)
+        table.write(readings(spark, ("a", 1)))
+        assert table.read().count() == 1
+    finally:
+        conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+
+
 def test_refresh_equals_the_batch_jobs(spark, fleet, tmp_path):
     tel, path = fleet
     store = RefreshStore(spark, str(tmp_path / "store"))

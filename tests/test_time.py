@@ -98,14 +98,14 @@ def test_ranges_prune_days(spark, tmp_path):
     days = [ts(2024, 1, d, h) for d in range(1, 9) for h in (1, 23)]
     append_by_day(spark.createDataFrame([(d,) for d in [*days, None]], "t timestamp_ntz"), path, ts="t")
     table = spark.read.parquet(path)
-    df = trailing(table, "t", hours=30)
+    df = trailing(table, "t", hours=30, day="date")
     assert sorted(r.t for r in df.collect()) == days[-3:]
     plan = df._jdf.queryExecution().executedPlan().toString()
     filters = [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
     assert any("date" in f and ">=" in f for f in filters)
-    fixed = trailing(table, "t", hours=24, as_of=ts(2024, 1, 8, 12))
+    fixed = trailing(table, "t", hours=24, as_of=ts(2024, 1, 8, 12), day="date")
     assert len(fixed.inputFiles()) and sorted(r.t for r in fixed.collect()) == days[-3:]
-    assert table.select(newest(table, "t").alias("n")).first().n == days[-1]
+    assert table.select(newest(table, "t", day="date").alias("n")).first().n == days[-1]
 
 
 def test_value_checks(spark):
