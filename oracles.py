@@ -379,6 +379,25 @@ _TICK = """
         AND f.epoch = coalesce(c.failure_next_epoch, 0) + 1
     WHERE c.enabled AND c.effective_from_epoch <= 101"""
 
+_SNAPSHOT = f"""
+    SELECT ts AS "timestamp", entity_id, {_SENSORS}, status FROM telemetry
+    WHERE ts = (SELECT max(ts) FROM telemetry)"""
+_CHART_AGG = f"""
+    SELECT strftime(bucket_time, '%Y-%m-%d %H:%M:%S') AS "timestamp", entity_id, {_CHART_MEANS}
+    FROM agg
+    WHERE bucket_time >= (SELECT max(bucket_time) FROM agg) - INTERVAL {{back}}
+    ORDER BY bucket_time, entity_id LIMIT 2000"""
+_CHART_INLINE = f"""
+    SELECT strftime(bucket_time, '%Y-%m-%d %H:%M:%S') AS "timestamp", entity_id, {_CHART_MEANS}
+    FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS bucket_time, entity_id,
+                 avg(engine_temp) AS avg_engine_temp,
+                 avg(trans_oil_pressure) AS avg_trans_oil_pressure,
+                 avg(battery_voltage) AS avg_battery_voltage
+          FROM telemetry
+          WHERE ts >= (SELECT max(ts) FROM telemetry) - INTERVAL {{back}}
+          GROUP BY 1, 2)
+    ORDER BY bucket_time, entity_id LIMIT 2000"""
+
 
 def all_oracles() -> dict[str, str]:
     tel, cfg = ["telemetry"], ["failure_config"]
@@ -409,8 +428,7 @@ def all_oracles() -> dict[str, str]:
         ),
         "snapshot_at_max": _with(
             tel,
-            f"""SELECT ts AS "timestamp", entity_id, {_SENSORS}, status FROM telemetry
-                WHERE ts = (SELECT max(ts) FROM telemetry)""",
+            _SNAPSHOT,
         ),
         "agg_5min": _with(
             ["agg"],
@@ -418,23 +436,11 @@ def all_oracles() -> dict[str, str]:
         ),
         "chart_from_agg": _with(
             ["agg"],
-            f"""SELECT strftime(bucket_time, '%Y-%m-%d %H:%M:%S') AS "timestamp", entity_id,
-                {_CHART_MEANS} FROM agg
-                WHERE bucket_time >= (SELECT max(bucket_time) FROM agg) - INTERVAL 30 MINUTE
-                ORDER BY bucket_time, entity_id LIMIT 2000""",
+            _CHART_AGG.format(back="30 MINUTE"),
         ),
         "chart_inline": _with(
             tel,
-            f"""SELECT strftime(bucket_time, '%Y-%m-%d %H:%M:%S') AS "timestamp", entity_id,
-                {_CHART_MEANS}
-                FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS bucket_time,
-                             entity_id, avg(engine_temp) AS avg_engine_temp,
-                             avg(trans_oil_pressure) AS avg_trans_oil_pressure,
-                             avg(battery_voltage) AS avg_battery_voltage
-                      FROM telemetry
-                      WHERE ts >= (SELECT max(ts) FROM telemetry) - INTERVAL 30 MINUTE
-                      GROUP BY 1, 2)
-                ORDER BY bucket_time, entity_id LIMIT 2000""",
+            _CHART_INLINE.format(back="30 MINUTE"),
         ),
         "chart_dashboard": _with(
             tel,
@@ -631,6 +637,61 @@ def all_oracles() -> dict[str, str]:
         "idempotent_append": _with(
             tel, f'SELECT ts AS "timestamp", entity_id, {_SENSORS}, status FROM telemetry'
         ),
+        "load_pipeline": _with(
+            ["normal_seed"],
+            """SELECT table_name, row_count, table_name || ': ' || row_count || ' rows' AS data
+               FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 'NORMAL_SEED_REJECTS'
+                                 ELSE 'NORMAL_SEED' END AS table_name, count(*) AS row_count
+                     FROM normal_seed GROUP BY 1)""",
+        ),
+        "customer_upsert": """
+            SELECT coalesce(c.c_custkey, o.o_custkey) AS c_custkey,
+                   round(coalesce(c.c_acctbal, o.o_totalprice), 6) AS balance,
+                   CASE WHEN c.c_custkey IS NULL THEN 'NEW' ELSE c.c_mktsegment END AS segment,
+                   o.o_orderdate AS last_order, o.o_orderpriority AS priority
+            FROM (SELECT * FROM customer WHERE c_acctbal >= 0) c
+            FULL OUTER JOIN (
+                SELECT * FROM orders QUALIFY row_number() OVER (
+                    PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) o
+            ON o.o_custkey = c.c_custkey""",
+        "customer_update_if_exists": """
+            SELECT c.* REPLACE (
+                round(c_acctbal, 6) AS c_acctbal,
+                CASE WHEN c_acctbal >= 0 AND EXISTS (
+                         SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')
+                     THEN 'WAITING' ELSE c_mktsegment END AS c_mktsegment)
+            FROM customer c""",
+        "supplier_update_from_map": """
+            SELECT s.* REPLACE (round(coalesce(u.price, s_acctbal), 6) AS s_acctbal)
+            FROM supplier s LEFT JOIN (
+                SELECT l_suppkey, max(l_extendedprice) AS price FROM lineitem
+                WHERE l_returnflag = 'R' AND l_quantity > 49 GROUP BY 1) u
+            ON u.l_suppkey = s.s_suppkey""",
+        "delete_all": """
+            SELECT 'TRUCK_' || s_suppkey AS entity_id, 'ENGINE' AS failure_type, false AS enabled,
+                   NULL::BIGINT AS effective_from_epoch, NULL::BIGINT AS failure_next_epoch,
+                   NULL::TIMESTAMP AS created_at, NULL::TIMESTAMP AS updated_at
+            FROM supplier""",
+        "state_defaults": """
+            SELECT c_name AS stream_name,
+                   CASE WHEN c_custkey % 3 > 0 THEN TIMESTAMP '2024-01-01 00:00:00'
+                        ELSE TIMESTAMP '2024-01-01 02:00:00' END AS start_ts,
+                   CASE WHEN c_custkey % 5 > 0 THEN c_custkey ELSE 0 END AS next_epoch,
+                   CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 7 ELSE 5 END AS step_seconds
+            FROM customer""",
+        "snapshot_at_max_by_day": _with_events(tel, _SNAPSHOT),
+        "chart_from_agg_by_day": _with_events(["agg"], _CHART_AGG.format(back="48 HOUR")),
+        "chart_inline_by_day": _with_events(tel, _CHART_INLINE.format(back="48 HOUR")),
+        "hybrid_prediction_ml": _with(
+            ["latest"],
+            f"""SELECT entity_id, feature_timestamp AS prediction_timestamp,
+                       round(avg_engine_temp, 6) AS current_engine_temp,
+                       round(avg_trans_oil_pressure, 6) AS current_trans_pressure,
+                       round(avg_battery_voltage, 6) AS current_battery_voltage,
+                       true AS class_known, true AS missing_is_normal, true AS hours_fit_class,
+                       true AS hours_not_negative, true AS tag_fits_class
+                FROM latest""",
+        ),
         "hybrid_prediction_function": _with(
             ["array_predictions"], f"SELECT {_CACHE} FROM array_predictions"
         ),
@@ -676,4 +737,5 @@ def all_oracles() -> dict[str, str]:
                     INTERVAL 6 HOUR, (SELECT max(ts) FROM events) - INTERVAL 2 DAY)""",
         ),
     }
+    out["latest_telemetry_json_file"] = out["latest_telemetry_json"]
     return out

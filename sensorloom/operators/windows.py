@@ -30,14 +30,15 @@ _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.Tim
 _LAST_INSTANT = "294247-01-10 04:00:54.775807"
 
 
-def _thinned(df: DataFrame, groups: list[str], order: str) -> DataFrame:
+def _thinned(df: DataFrame, groups: list[str], order: str, extra: dict[str, Column]) -> DataFrame:
     """The newest row per group, by a hash aggregate over fixed-width columns."""
     rank = F.coalesce(F.col(order), F.lit(_LAST_INSTANT).cast("timestamp_ntz"))
     rest = [c for c in df.columns if c not in groups]
-    return df.groupBy(*groups).agg(*[F.max_by(c, rank).alias(c) for c in rest])
+    more = [c.alias(n) for n, c in extra.items()]
+    return df.groupBy(*groups).agg(*[F.max_by(c, rank).alias(c) for c in rest], *more)
 
 
-def latest_per(df: DataFrame, key, order, *, few=()) -> DataFrame:
+def latest_per(df: DataFrame, key, order, *, few=(), extra: dict[str, Column] | None = None) -> DataFrame:
     """The row with the greatest ``order`` of every ``key``.
 
     Written as an aggregate, not as a ranking: each map task sends one row per
@@ -47,21 +48,28 @@ def latest_per(df: DataFrame, key, order, *, few=()) -> DataFrame:
     Fixed-width columns can be carried through a hash aggregate, anything else
     makes Spark sort. ``few`` names text columns with few values per key: by
     grouping by them too, the hash aggregate still does the bulk of the work
-    and leaves a handful of rows per key.
+    and leaves a handful of rows per key. ``extra`` names further aggregates
+    of each key, taken in the same pass.
     """
+    if extra and few:
+        raise ValueError("further aggregates go without few")
+    extra = extra or {}
     keys, orders = _names(key), _names(order)
     types = {f.name: f.dataType for f in df.schema.fields}
     groups = keys + [c for c in few if c not in keys]
     fixed = all(isinstance(types[c], _FIXED_WIDTH) for c in df.columns if c not in groups)
     if fixed and len(orders) == 1 and isinstance(types[orders[0]], T.TimestampNTZType):
-        df = _thinned(df, groups, orders[0]).select(*df.columns)
+        thin = _thinned(df, groups, orders[0], extra).select(*df.columns, *extra)
         if groups == keys:
-            return df
+            return thin
+        df = thin
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), descending_rank(orders)).alias("_row")
+        F.max_by(F.struct(*rest), descending_rank(orders)).alias("_row"),
+        *[c.alias(n) for n, c in extra.items()],
     )
-    return picked.select(*[c if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    columns = [c if c in keys else F.col("_row")[c].alias(c) for c in df.columns]
+    return picked.select(*columns, *extra)
 
 
 def by_entity_time(entity="entity_id", ts: str = "feature_timestamp") -> WindowSpec:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.checks import any_missing, clamp_at_zero
-from sensorloom.plans.scoring import CLASS, HOURS
+from sensorloom.plans.scoring import CLASS, HOURS, is_basic, is_temporal
 from sensorloom.schemas import BASIC_FEATURES, NORMAL, TEMPORAL_FEATURES
 
 _VECTOR, _LABEL, _INDEX, _PREDICTED = "_features", "_label", "_index", "_predicted"
@@ -75,12 +75,20 @@ class MLScorer:
 
 
 def fit_scorer(
-    labelled: DataFrame, *, label: str, hours: str, trees: int = 20, depth: int = 5, seed: int = 7
+    labelled: DataFrame,
+    *,
+    label: str,
+    basic_hours: str,
+    temporal_hours: str,
+    trees: int = 20,
+    depth: int = 5,
+    seed: int = 7,
 ) -> MLScorer:
-    """Train the three models on feature rows with their class and hours.
+    """Train the three models on feature rows with their class and both kinds of hours.
 
-    Rows with a missing feature or without hours are left out of the training
-    that needs them.
+    Each regressor learns its own hours on the rows whose class routes to it,
+    or on all rows if there is none of these. Rows with a missing feature or
+    without hours are left out of the training that needs them.
     """
     classes = labelled.filter(~any_missing(BASIC_FEATURES)).withColumnRenamed(label, _LABEL)
     index = StringIndexer(inputCol=_LABEL, outputCol=_INDEX, stringOrderType="alphabetAsc").fit(
@@ -98,8 +106,10 @@ def fit_scorer(
     stages = Pipeline(stages=[_assembler(BASIC_FEATURES), forest, name])
     classifier = stages.fit(index.transform(classes))
 
-    def regression(features) -> PipelineModel:
-        rows = labelled.filter(~any_missing(features) & F.col(hours).isNotNull())
+    def regression(features, hours: str, route: Column) -> PipelineModel:
+        usable = labelled.filter(~any_missing(features) & F.col(hours).isNotNull())
+        routed = usable.filter(route)
+        rows = usable if routed.isEmpty() else routed
         trained = GBTRegressor(
             featuresCol=_VECTOR,
             labelCol=hours,
@@ -110,7 +120,11 @@ def fit_scorer(
         )
         return Pipeline(stages=[_assembler(features), trained]).fit(rows)
 
-    return MLScorer(classifier, regression(BASIC_FEATURES), regression(TEMPORAL_FEATURES))
+    return MLScorer(
+        classifier,
+        regression(BASIC_FEATURES, basic_hours, is_basic(label)),
+        regression(TEMPORAL_FEATURES, temporal_hours, is_temporal(label)),
+    )
 
 
 Predict = Callable[[np.ndarray], np.ndarray]
@@ -128,10 +142,11 @@ def _batched(load: Callable[[], Predict], features, result: str) -> Column:
         for frame in batches:
             matrix = frame.to_numpy(dtype=float)
             whole = ~np.isnan(matrix).any(axis=1)
-            out = pd.Series([None] * len(frame), dtype=object)
+            # A NaN stands for no hours: it turns into a null on the way back.
+            out = np.full(len(frame), np.nan) if result == "double" else np.full(len(frame), None)
             if whole.any():
-                out[whole] = list(model(matrix[whole]))
-            yield out
+                out[whole] = model(matrix[whole])
+            yield pd.Series(out)
 
     return predict(F.struct(*[F.col(f).cast("double").alias(f) for f in features]))
 

@@ -9,13 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorloom import session
-from sensorloom.functions.timeops import datediff_boundary, time_slice, time_text, trailing
-from sensorloom.operators.keyed import append_if_absent, insert_if_absent, update_where
+from sensorloom.functions.checks import any_missing
+from sensorloom.functions.timeops import DAY, datediff_boundary, time_slice, time_text, trailing
+from sensorloom.operators.keyed import (
+    append_if_absent,
+    emptied,
+    insert_if_absent,
+    update_from_map,
+    update_if_exists,
+    update_where,
+    upsert,
+    with_defaults,
+)
 from sensorloom.operators.windows import latest_per
 from sensorloom.plans import array_rules, features, models, refresh, replay, scoring, serving, status
-from sensorloom.schemas import DEFAULT_STATUS, FAILURE_TYPES, NORMAL_SEED
+from sensorloom.schemas import BASIC_FEATURES, DEFAULT_STATUS, FAILURE_TYPES, NORMAL, NORMAL_SEED
 from sensorloom.sources import derived, export, traces
-from sensorloom.sources.versioned import VersionedTable
+from sensorloom.sources.versioned import VersionedTable, append_by_day, replace_table
 from sensorloom.streaming import live
 from sensorloom.streaming.refresh import RefreshStore, stream_refresh
 from sensorloom.streaming.slices import HistoryRefresh, SliceLog, stream_refresh_history, stream_slices
@@ -165,7 +175,7 @@ def latest_features(spark, sf_dir):
     return features.latest_features(_features(spark, sf_dir))
 
 
-def _scored(spark, sf_dir, *names) -> DataFrame:
+def _scored(spark, sf_dir) -> tuple[DataFrame, scoring.RuleScorer]:
     rows = features.latest_features(_features(spark, sf_dir))
     return rows, scoring.RuleScorer()
 
@@ -397,6 +407,145 @@ def load_audit(spark, sf_dir):
     )
 
 
+@query
+def load_pipeline(spark, sf_dir):
+    """The whole load: files into tables, each replaced in full, and a count of what is there.
+
+    A second load over the first leaves the same tables.
+    """
+    files = _trace_files(spark, sf_dir)
+    base = session.scratch_path(spark, "loaded")
+    for _ in range(2):
+        replace_table(traces.load_trace_csv(spark, files, NORMAL_SEED), f"{base}/seed")
+        replace_table(traces.load_rejects(spark, files, NORMAL_SEED), f"{base}/rejects")
+    return traces.load_audit(
+        {
+            "NORMAL_SEED": spark.read.parquet(f"{base}/seed"),
+            "NORMAL_SEED_REJECTS": spark.read.parquet(f"{base}/rejects"),
+        }
+    )
+
+
+@query
+def customer_upsert(spark, sf_dir):
+    """Every customer's newest order merged into the customers that are not in debt.
+
+    A balance that is there stays; a new customer starts in a segment of its own.
+    """
+    customers = derived.table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(
+        "c_custkey",
+        F.col("c_acctbal").alias("balance"),
+        F.col("c_mktsegment").alias("segment"),
+        F.lit(None).cast("timestamp_ntz").alias("last_order"),
+        F.lit(None).cast("string").alias("priority"),
+    )
+    orders = derived.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("c_custkey"),
+        F.col("o_totalprice").alias("balance"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("last_order"),
+        F.col("o_orderpriority").alias("priority"),
+        "o_orderkey",
+    )
+    return upsert(
+        customers,
+        orders,
+        "c_custkey",
+        order=["last_order", "o_orderkey"],
+        insert_defaults={"segment": "NEW"},
+        update_keep=("balance",),
+    )
+
+
+@query
+def customer_update_if_exists(spark, sf_dir):
+    """Customers that owe nothing and have an open order change segment."""
+    customers = derived.table(spark, sf_dir, "customer")
+    waiting = derived.table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'")
+    return update_if_exists(
+        customers,
+        waiting,
+        {"o_custkey": F.col("c_custkey")},
+        {"c_mktsegment": F.lit("WAITING")},
+        condition=F.col("c_acctbal") >= 0,
+    )
+
+
+@query
+def supplier_update_from_map(spark, sf_dir):
+    """Balances overwritten by the dearest returned item; several updates come per supplier."""
+    updates = derived.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity > 49")
+    updates = updates.select(
+        F.col("l_suppkey").alias("s_suppkey"), F.col("l_extendedprice").alias("s_acctbal")
+    )
+    return update_from_map(derived.table(spark, sf_dir, "supplier"), updates, "s_suppkey")
+
+
+@query
+def delete_all(spark, sf_dir):
+    """The failure configuration written, emptied as a new version, and registered anew."""
+    config = derived.failure_config(spark, sf_dir)
+    table = VersionedTable(spark, session.scratch_path(spark, "config"), config.schema)
+    table.write(config)
+    table.write(emptied(table.read()))
+    trucks = derived.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("TRUCK_"), F.col("s_suppkey").cast("string")).alias("entity_id")
+    )
+    trucks = with_defaults(trucks, {"failure_type": FAILURE_TYPES[0], "enabled": False})
+    return insert_if_absent(table.read(), trucks, "entity_id")
+
+
+@query
+def state_defaults(spark, sf_dir):
+    """A stream per customer, with fields missing here and there."""
+    key = F.col("c_custkey")
+    states = derived.table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("stream_name"),
+        F.when(key % 3 > 0, derived.ntz(derived.START)).alias("start_ts"),
+        F.when(key % 5 > 0, key).alias("next_epoch"),
+        F.when(key % 7 > 0, key % 7).alias("step_seconds"),
+    )
+    return replay.fill_state_defaults(states, as_of=AS_OF)
+
+
+@query
+def latest_telemetry_json_file(spark, sf_dir):
+    """The same records written as files and read back."""
+    path = session.scratch_path(spark, "json")
+    export.write_json(serving.latest_telemetry(derived.telemetry(spark, sf_dir)), path)
+    return spark.read.text(path).withColumnRenamed("value", "record")
+
+
+# --- tables laid out by day ----------------------------------------------
+
+
+def _by_day(spark, rows: DataFrame, ts: str) -> DataFrame:
+    path = session.scratch_path(spark, "by-day")
+    append_by_day(rows, path, ts=ts)
+    return spark.read.parquet(path)
+
+
+def _event_days(spark, sf_dir) -> DataFrame:
+    events = derived.event_readings(derived.table(spark, sf_dir, "events"))
+    return _by_day(spark, events, "timestamp")
+
+
+@query
+def snapshot_at_max_by_day(spark, sf_dir):
+    return serving.snapshot_at_max(_event_days(spark, sf_dir), day=DAY)
+
+
+@query
+def chart_from_agg_by_day(spark, sf_dir):
+    """Whole slices of the last two days from a slice table."""
+    slices = serving.agg_5min(derived.event_readings(derived.table(spark, sf_dir, "events")))
+    return serving.chart_from_agg(_by_day(spark, slices, "bucket_time"), hours=48, day=DAY)
+
+
+@query
+def chart_inline_by_day(spark, sf_dir):
+    return serving.chart_inline(_event_days(spark, sf_dir), hours=48, day=DAY)
+
+
 @query
 def idempotent_append(spark, sf_dir):
     """A full replay appended to what is there already."""
@@ -410,21 +559,50 @@ def idempotent_append(spark, sf_dir):
 # --- trained models -----------------------------------------------------
 
 
+_RULE_LABELS = ("rule_class", "rule_basic", "rule_temporal")
+
+
 def _trained(spark, sf_dir):
     """Models trained on what the rules say of every slice, kept with its features."""
     rules = scoring.RuleScorer()
-    rows = _features(spark, sf_dir)
-    labelled = rows.withColumns({"rule_class": rules.class_expr(), "rule_hours": rules.basic_expr()})
+    labels = (rules.class_expr(), rules.basic_expr(), rules.temporal_expr())
+    labelled = _features(spark, sf_dir).withColumns(dict(zip(_RULE_LABELS, labels)))
     labelled = session.cut_lineage(labelled, "labelled")
+    kind, basic, temporal = _RULE_LABELS
     return labelled, models.fit_scorer(
-        labelled, label="rule_class", hours="rule_hours", trees=5, depth=4
+        labelled, label=kind, basic_hours=basic, temporal_hours=temporal, trees=5, depth=4
     )
 
 
 @query
 def hybrid_prediction_ml(spark, sf_dir):
+    """Trained, saved and loaded models; what every prediction has to hold, whatever the trees.
+
+    Each condition is worked out from the scores of the loaded models.
+    """
     labelled, scorer = _trained(spark, sf_dir)
-    return scoring.hybrid_prediction(labelled.drop("rule_class", "rule_hours"), scorer)
+    path = session.scratch_path(spark, "models")
+    scorer.save(path)
+    rows = labelled.drop(*_RULE_LABELS)
+    scored = scoring.hybrid_prediction(rows, models.MLScorer.load(path))
+    given = features.latest_features(rows).select("entity_id", any_missing(BASIC_FEATURES).alias("missing"))
+    kind, hours, tag = F.col(scoring.CLASS), F.col(scoring.HOURS), F.col("ttf_model_used")
+    normal = kind == NORMAL
+    return scored.join(given, "entity_id").select(
+        "entity_id",
+        "prediction_timestamp",
+        "current_engine_temp",
+        "current_trans_pressure",
+        "current_battery_voltage",
+        (normal | scoring.is_basic() | scoring.is_temporal()).alias("class_known"),
+        (~F.col("missing") | normal).alias("missing_is_normal"),
+        (normal == hours.isNull()).alias("hours_fit_class"),
+        (F.coalesce(hours, F.lit(0.0)) >= 0).alias("hours_not_negative"),
+        F.when(normal, tag == scoring.MODEL_NONE)
+        .when(scoring.is_temporal(), tag == scoring.MODEL_TEMPORAL)
+        .otherwise(tag == scoring.MODEL_BASIC)
+        .alias("tag_fits_class"),
+    )
 
 
 @query

@@ -19,6 +19,8 @@ KEYS = ["timestamp", "entity_id"]
 
 # Epochs per block of the failure-trace join.
 _BLOCK = 60
+# Copies of a block, each for a share of the entities.
+_SALTS = 32
 
 
 def tag_traces(traces: dict[str, DataFrame]) -> DataFrame:
@@ -78,9 +80,9 @@ def _failure_rows(
     An entity reads the trace epochs after its cursor, as many as the range
     holds once the failure is in effect. The range condition is joined by
     blocks of epochs, so an entity costs one row per block before the join,
-    not one per epoch. The join turns a small table into many readings: the
-    blocks are spread over all partitions first, and even if every entity
-    stands at the same epoch, each block of each type is a key of its own.
+    not one per epoch. Entities of a type may all stand at one epoch, so the
+    key is salted: each block of a trace is there ``_SALTS`` times, and an
+    entity meets one of them.
     """
     delay = F.greatest(F.lit(0), F.col("eff") - (clock.epoch + 1))
     wanted = _effective(config).select(
@@ -91,14 +93,19 @@ def _failure_rows(
         (F.lit(clock.epoch) + delay - F.col("cur")).alias("shift"),
     )
     wanted = wanted.filter(F.col("first") <= F.col("last"))
-    block = F.lit(_BLOCK)
+    block, salts = F.lit(_BLOCK), F.lit(_SALTS).cast("long")
     blocks = wanted.withColumn(
         "block",
         F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))),
     )
-    spread = int(config.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = failure_traces.withColumn("block", F.floor(F.col("epoch") / block))
-    joined = blocks.repartition(spread, "entity_id", "block").join(pieces, ["failure_type", "block"]).filter(
+    blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("entity_id"), salts))
+    pieces = failure_traces.withColumns(
+        {
+            "block": F.floor(F.col("epoch") / block),
+            "salt": F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)),
+        }
+    )
+    joined = blocks.join(pieces, ["failure_type", "block", "salt"]).filter(
         F.col("epoch").between(F.col("first"), F.col("last"))
     )
     return joined.select("entity_id", (F.col("epoch") + F.col("shift")).alias("epoch"), *SENSORS)

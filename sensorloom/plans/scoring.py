@@ -109,12 +109,14 @@ class RuleScorer:
         return df.withColumn(HOURS, self.temporal_expr())
 
 
-def _is_temporal() -> Column:
-    return F.col(CLASS) == ELECTRICAL_FAILURE
+def is_temporal(column: str = CLASS) -> Column:
+    """Whether a class asks for the model over temporal features."""
+    return F.col(column) == ELECTRICAL_FAILURE
 
 
-def _is_basic() -> Column:
-    return F.col(CLASS).isin(ENGINE_FAILURE, TRANSMISSION_FAILURE)
+def is_basic(column: str = CLASS) -> Column:
+    """Whether a class asks for the model over basic features."""
+    return F.col(column).isin(ENGINE_FAILURE, TRANSMISSION_FAILURE)
 
 
 def route_hours(classified: DataFrame, scorer: Scorer) -> DataFrame:
@@ -123,17 +125,17 @@ def route_hours(classified: DataFrame, scorer: Scorer) -> DataFrame:
         spare = "_spare_hours"
         both = scorer.ttf_basic(classified).withColumnRenamed(HOURS, spare)
         both = scorer.ttf_temporal(both)
-        hours = F.when(_is_temporal(), F.col(HOURS)).when(_is_basic(), F.col(spare))
+        hours = F.when(is_temporal(), F.col(HOURS)).when(is_basic(), F.col(spare))
         scored = both.withColumn(HOURS, hours).drop(spare)
     else:
         # One row per entity, read by three branches: written once, not computed thrice.
         classified = cut_lineage(classified, "classified")
-        temporal = scorer.ttf_temporal(classified.filter(_is_temporal()))
-        basic = scorer.ttf_basic(classified.filter(_is_basic()))
-        rest = classified.filter(~F.coalesce(_is_temporal() | _is_basic(), F.lit(False)))
+        temporal = scorer.ttf_temporal(classified.filter(is_temporal()))
+        basic = scorer.ttf_basic(classified.filter(is_basic()))
+        rest = classified.filter(~F.coalesce(is_temporal() | is_basic(), F.lit(False)))
         rest = rest.withColumn(HOURS, F.lit(None).cast("double"))
         scored = temporal.unionByName(basic).unionByName(rest)
-    tag = F.when(_is_temporal(), MODEL_TEMPORAL).when(_is_basic(), MODEL_BASIC).otherwise(MODEL_NONE)
+    tag = F.when(is_temporal(), MODEL_TEMPORAL).when(is_basic(), MODEL_BASIC).otherwise(MODEL_NONE)
     return scored.withColumn("ttf_model_used", tag)
 
 

@@ -16,6 +16,7 @@ from sensorloom.functions.timeops import (
 )
 from sensorloom.operators.windows import latest_per
 from sensorloom.schemas import SENSORS
+from sensorloom.session import cut_lineage
 
 
 def latest_telemetry(tel: DataFrame) -> DataFrame:
@@ -31,11 +32,19 @@ def fleet_status(
     """Every known entity with its newest reading and whether it is on line.
 
     On line means within ``fresh_s`` seconds of the newest reading of the
-    whole fleet, which is handed in as a scalar.
+    whole fleet. Readings are reduced to one row per entity in one pass, which
+    also gives each entity's newest known time; the fleet's is the greatest of
+    these. A table laid out by ``day`` is asked for its newest day instead.
     """
     readings = tel.select("entity_id", "timestamp", *SENSORS)
-    last = latest_per(readings, "entity_id", "timestamp")
-    lag = datediff_boundary("second", F.col("timestamp"), newest(tel, "timestamp", day=day))
+    if day is not None:
+        last = latest_per(readings, "entity_id", "timestamp")
+        fleet = newest(tel, "timestamp", day=day)
+    else:
+        last = latest_per(readings, "entity_id", "timestamp", extra={"_seen": F.max("timestamp")})
+        last = cut_lineage(last, "fleet")
+        fleet = newest(last, "_seen")
+    lag = datediff_boundary("second", F.col("timestamp"), fleet)
     return (
         entities.select("entity_id")
         .distinct()

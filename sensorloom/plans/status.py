@@ -105,7 +105,8 @@ def active_failures_list(active: DataFrame) -> DataFrame:
 def trace_lengths(failure_traces: DataFrame) -> DataFrame:
     """Number of rows of every failure trace; a type without rows counts zero."""
     spark = failure_traces.sparkSession
-    types = spark.createDataFrame([(t,) for t in FAILURE_TYPES], "failure_type string")
+    named = F.array(*[F.lit(t) for t in FAILURE_TYPES])
+    types = spark.range(1).select(F.explode(named).alias("failure_type"))
     counted = failure_traces.groupBy("failure_type").agg(F.count(F.lit(1)).alias("max_epochs"))
     return types.join(counted, "failure_type", "left").select(
         "failure_type", F.coalesce("max_epochs", F.lit(0)).cast("long").alias("max_epochs")

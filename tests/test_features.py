@@ -254,8 +254,12 @@ def test_models_see_only_their_route(cases):
 def test_trained_models(spark, tmp_path):
     rows = features.temporal_features(features.window_stats(derived.telemetry(spark, SF)))
     rules = scoring.RuleScorer()
-    labelled = rows.withColumns({"kind": rules.class_expr(), "hours": rules.basic_expr()}).cache()
-    scorer = models.fit_scorer(labelled, label="kind", hours="hours", trees=2, depth=3)
+    labelled = rows.withColumns(
+        {"kind": rules.class_expr(), "near": rules.basic_expr(), "far": rules.temporal_expr()}
+    ).cache()
+    scorer = models.fit_scorer(
+        labelled, label="kind", basic_hours="near", temporal_hours="far", trees=2, depth=3
+    )
     scorer.save(str(tmp_path / "models"))
     loaded = models.MLScorer.load(str(tmp_path / "models"))
     got = routed(scoring.hybrid_prediction(rows, scorer))
