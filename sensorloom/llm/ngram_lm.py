@@ -1,8 +1,9 @@
 """Stupid-backoff language-model scores from n-gram count tables.
 
 Documents are dealt to blocks of about ``BLOCK_BYTES`` by a hash. A block gives
-its different n-grams with their counts, as 64-bit hashes; the count table is
-partitioned by the hash, sums every n-gram over all blocks, and returns the sums that
+its different n-grams with their counts, as 60-bit hashes: 12 bits name the bucket,
+16 and 32 bits travel as lists. The count table is partitioned by the bucket,
+sums every n-gram over all blocks, and returns the sums that
 a block cannot know from itself. A block then scores its documents. An n-gram
 has one row per block at most, however frequent it is, so no key is hot, and
 what is shuffled and summed grows with the text.
@@ -40,7 +41,11 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTES = np.random.default_rng(17).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_EMPTY = np.uint64(0x632BE59BD9B4E019)
+# The lowest four bits of a hash are not used: what is left of a bucket's
+# n-grams fits a short and an int.
+_SPARE = np.uint64(4)
+_USED = np.uint64(0xFFFFFFFFFFFFFFF0)
+_EMPTY = np.uint64(0x632BE59BD9B4E010)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -79,11 +84,11 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(hashes: np.ndarray, owner: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length the hash of the n-gram ending at each word, and whether there is one."""
-    out = [(_mixed(hashes + np.uint64(1)), np.ones(len(hashes), dtype=bool))]
+    out = [(_mixed(hashes + np.uint64(1)) & _USED, np.ones(len(hashes), dtype=bool))]
     for n in range(2, order + 1):
         before, had = out[-1]
         gram = np.zeros_like(hashes)
-        gram[1:] = _mixed(before[:-1] * _STEP + hashes[1:] + np.uint64(n))
+        gram[1:] = _mixed(before[:-1] * _STEP + hashes[1:] + np.uint64(n)) & _USED
         has = np.zeros(len(hashes), dtype=bool)
         has[1:] = had[:-1] & (owner[1:] == owner[:-1])
         out.append((gram, has))
@@ -120,11 +125,14 @@ def _counted(order: int):
         starts = _bucket_starts(unique)
         full = np.flatnonzero(starts[1:] > starts[:-1])
         offsets = pa.array(np.append(starts[full], len(unique)), type=pa.int32())
+        low = (unique >> _SPARE).astype(np.uint32).view(np.int32)
+        high = (unique >> (_SPARE + np.uint64(32))).astype(np.uint16).view(np.int16)
         return pa.table(
             {
                 "block": pa.array(np.full(len(full), table["block"][0].as_py()), type=pa.int64()),
                 "bucket": pa.array(full, type=pa.int32()),
-                "grams": pa.ListArray.from_arrays(offsets, pa.array(unique.view(np.int64))),
+                "high": pa.ListArray.from_arrays(offsets, pa.array(high)),
+                "low": pa.ListArray.from_arrays(offsets, pa.array(low)),
                 "counts": pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))),
             }
         )
@@ -211,7 +219,7 @@ def score(
     documents.
     """
     prepare(docs.sparkSession)
-    schema = "block long, bucket int, grams array<long>, counts array<int>"
+    schema = "block long, bucket int, high array<short>, low array<int>, counts array<int>"
     blocked = _in_blocks(docs, block_bytes)
     counted = blocked.groupBy("block").applyInArrow(_counted(order), schema)
     given = F.lit(0) if corpus is not None else F.col("count")
@@ -223,10 +231,11 @@ def score(
         given = F.when(F.col("asks"), 0).otherwise(F.col("count"))
     # N-grams travel as lists and are exploded where their bucket is.
     rows = rows.repartition("bucket").select(
-        "block", "bucket", "asks", F.posexplode(F.arrays_zip("grams", "counts")).alias("at", "g")
+        "block", "bucket", "asks", F.posexplode(F.arrays_zip("high", "low", "counts")).alias("at", "g")
     )
+    gram = F.shiftleft(F.col("g.high").cast("long"), 32) + F.col("g.low")
     rows = rows.select(
-        "block", "bucket", "asks", "at", F.col("g.grams").alias("gram"), F.col("g.counts").cast("long").alias("count")
+        "block", "bucket", "asks", "at", gram.alias("gram"), F.col("g.counts").cast("long").alias("count")
     )
     total = F.expr("sum(given) over (partition by bucket, gram)")
     rows = rows.withColumn("given", given).withColumn("total", total)
