@@ -149,3 +149,14 @@ def test_latest_agrees_with_sorting(spark, readings):
     expected = sorted(best.values(), key=str)
     assert rows(latest_per(df, "k", "t", few=["s"])) == expected
     assert rows(latest_per(df, "k", ["t", "n"])) == expected
+
+
+def test_latest_with_further_aggregates_of_the_key(spark):
+    data = [("a", datetime(2024, 1, 1), 1, "x"), ("a", None, 2, "y"), ("b", None, 3, "z")]
+    df = spark.createDataFrame(data, "k string, t timestamp_ntz, n int, s string")
+    expected = [("a", None, 2, datetime(2024, 1, 1)), ("b", None, 3, None)]
+    seen = {"seen": F.max("t")}
+    assert rows(latest_per(df.drop("s"), "k", "t", extra=seen)) == expected
+    assert rows(latest_per(df, "k", "t", extra=seen).drop("s")) == expected
+    with pytest.raises(ValueError):
+        latest_per(df, "k", "t", few=["s"], extra=seen)
