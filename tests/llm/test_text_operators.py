@@ -18,6 +18,7 @@ from sensorloom.llm import (
     decontam,
     langid,
     mixing,
+    near_texts,
     ngram_lm,
     pii,
     quality,
@@ -242,6 +243,62 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash.deduplicate(empty(odd)).count() == 0 and simhash.digest(empty(odd)).count() == 0
 
 
+def shingle_set(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def edited(rng, words, edits):
+    """Some words replaced, from which the similarity follows."""
+    words = list(words)
+    for at in rng.choice(len(words), edits, replace=False):
+        words[at] = f"new{rng.integers(1 << 30)}"
+    return " ".join(words)
+
+
+def test_deduplicate_joins_similar_texts(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(40):
+        words = rng.choice(vocabulary, rng.integers(60, 400))
+        rows += [" ".join(words)] + [edited(rng, words, e) for e in (1, 2, 3, 5, 8, 30)]
+    # A dense group of different texts, and a passage many texts share.
+    dense = rng.choice(vocabulary, 300)
+    rows += [edited(rng, dense, 1) for _ in range(40)]
+    rows += [" ".join([*dense[:60], *rng.choice(vocabulary, 200)]) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicate(frame).collect()}
+    sets = [shingle_set(t) for t in rows]
+    prints = [brute_fingerprint(t) for t in rows]
+    linked = [
+        (i, j)
+        for i in range(len(rows))
+        for j in range(i)
+        if similarity(sets[i], sets[j]) >= 0.8 or (prints[i] ^ prints[j]).bit_count() <= 4
+    ]
+    assert len(linked) > 800
+    assert kept == set(smallest(len(rows), linked))
+
+
+def test_near_pairs_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    words = rng.choice([f"w{i}" for i in range(500)], 200)
+    texts = [edited(rng, words, 2) for _ in range(30)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sketches = near_texts.with_sketch(frame).withColumn("fingerprint", F.lit(0).cast("long")).drop("text").cache()
+    found = common.components(near_texts.links(sketches, sketches, ["doc_id"], block=4)).collect()
+    sets = [shingle_set(t) for t in texts]
+    linked = [(i, j) for i in range(30) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
+    groups = len(set(smallest(30, linked)))
+    alone = 30 - len({i for pair in linked for i in pair})
+    assert len({r.root for r in found}) + alone == groups and len(found) + alone == 30
+
+
 def test_vector_links(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 24))
