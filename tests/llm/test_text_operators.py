@@ -299,6 +299,24 @@ def test_near_pairs_in_blocks(spark):
     assert len({r.root for r in found}) + alone == groups and len(found) + alone == 30
 
 
+def test_deduplicate_joins_texts_that_differ_in_repeats(spark):
+    rng = np.random.default_rng(0)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows = []
+    for rule in "=-*_#~":
+        words = rng.choice(vocabulary, 1000).tolist()
+        lines = [rng.choice(vocabulary, 12).tolist() for _ in range(2)]
+        rows += [words, words[:500] + [rule] * 300 + words[500:], words + lines[0] * 20, words + lines[1] * 20]
+    rows = [" ".join(r) for r in rows]
+    sets = [shingle_set(t) for t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
+    prints = [brute_fingerprint(t) for t in rows]
+    assert max((prints[i] ^ prints[j]).bit_count() for i, j in linked) > 24
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicate(frame).collect()}
+    assert kept == set(smallest(len(rows), linked)) == set(range(0, 24, 4))
+
+
 def test_vector_links(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 24))
