@@ -496,6 +496,43 @@ def test_passages_within_the_edit_budget(spark, docs):
     assert 40 <= hits < 120
 
 
+def test_quotes_are_found_wherever_they_begin(spark, docs):
+    rows = [(r.item_id, r.text.encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(i, t[:200]) for i, t in sorted(rows, key=lambda r: -len(decontam.normal(r[1])))[:2]]
+    rows += [(77, None), (78, b"too short"), (79, b"one two three four five six seven eight"), (80, b"ab cd " * 40)]
+    index = decontam.Index.of(rows, decontam.whole)
+    items = [bytes(t) for t in index.texts]
+    rng = np.random.default_rng(6)
+    outer = [decontam.normal(r.text.encode())[:80] for r in docs.limit(90).collect()]
+    texts, longest = [], max(items, key=len)
+    for start in range(0, 30):
+        texts += [outer[start] + b" " + longest[start : start + 60] + b" " + outer[start + 30]]
+    for n in range(50):
+        item = items[n % len(items)]
+        size = min(len(item), int(rng.integers(58, 75)))
+        part = bytearray(item[(start := int(rng.integers(0, len(item) - size + 1))) : start + size])
+        for _ in range(rng.integers(0, 8)):
+            at, kind = rng.integers(len(part)), rng.integers(3)
+            part[at : at + (kind != 2)] = b"" if kind == 1 else bytes([97 + int(rng.integers(26))])
+        texts.append(outer[n] + b" " + bytes(part) + b" " + outer[n + 30])
+    found = decontam.matches(texts, index)
+    for text, got in zip(texts, found):
+        plain = decontam.normal(text)
+        expected = {
+            p
+            for p, item in enumerate(items)
+            if any(
+                fewest_edits(item[s : s + 60], plain) <= min(len(item), 60) // 15
+                for s in range(max(1, len(item) - 59))
+            )
+        }
+        assert got == expected
+    assert all(found[:30]) and 20 <= sum(map(bool, found[30:])) < 50
+    frame = spark.createDataFrame([(i, t.decode("utf-8", "ignore")) for i, t in enumerate(texts[:30])], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, t.decode("utf-8", "ignore")) for i, t in rows if t], "item_id long, text string")
+    assert decontam.decontaminate(frame, benchmark).count() == 0
+
+
 def test_decontamination(spark, docs, odd):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     one = decontam.items_column(docs, benchmark)
