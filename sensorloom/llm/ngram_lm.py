@@ -255,8 +255,8 @@ def score(
     return scored.withColumn("mean_score", mean)
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row per document, to six digits: sums depend on their order in the last ones."""
-    return score(docs).select(
+    return score(docs, order=order).select(
         "doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_score", 6).alias("mean_score")
     )

@@ -102,3 +102,43 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 6) AS log_score
        round(CASE WHEN len(ws) > 0 THEN s / len(ws) END, 6) AS mean_score
 FROM doc LEFT JOIN total USING (r)
 """
+
+ORACLES["op4_lm_score_trigrams"] = """
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+tok AS (
+  SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM doc),
+gram AS (
+  SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v,
+         lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS u
+  FROM tok),
+everything AS (SELECT count(*) AS n FROM tok),
+seen AS (
+  SELECT *,
+         count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY r, w) AS c1,
+         count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY r, v, w) AS c2,
+         count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY r, u, v, w) AS c3
+  FROM gram),
+context AS (
+  SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY i) AS b1, lag(c2) OVER (PARTITION BY r ORDER BY i) AS b2
+  FROM seen),
+one AS (
+  SELECT context.r, c3, b2, u, v, c2, b1,
+         log10(greatest(c1, 1) / greatest(everything.n - len(doc.ws), 1)::DOUBLE) AS single
+  FROM context JOIN doc USING (r) CROSS JOIN everything),
+two AS (
+  SELECT *, CASE WHEN v IS NULL THEN single WHEN c2 > 0 THEN log10(c2 / b1::DOUBLE)
+                 ELSE log10(0.4) + single END AS short
+  FROM one),
+total AS (
+  SELECT r, sum(CASE WHEN u IS NULL THEN short WHEN c3 > 0 THEN log10(c3 / b2::DOUBLE)
+                     ELSE log10(0.4) + short END) AS s
+  FROM two GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 6) AS log_score,
+       round(CASE WHEN len(ws) > 0 THEN s / len(ws) END, 6) AS mean_score
+FROM doc LEFT JOIN total USING (r)
+"""

@@ -88,6 +88,11 @@ def op4_lm_score(spark, sf_dir):
     return ngram_lm.digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_lm_score_trigrams(spark, sf_dir):
+    return ngram_lm.digest(table(spark, sf_dir, "documents"), order=3)
+
+
 @query
 def op5_decontamination(spark, sf_dir):
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -459,6 +459,16 @@ def test_language_model_blocks_do_not_matter(spark, docs, odd):
     assert ngram_lm.digest(empty(odd)).count() == 0
 
 
+def test_trigram_scores_equal_their_sql(spark):
+    engine = duckdb.connect()
+    engine.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    names = ["doc_id", "n_words", "log_score", "mean_score"]
+    sql = queries.all_oracles()["op4_lm_score_trigrams"]
+    expected = engine.sql(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
+    rows = [tuple(r) for r in queries.all_queries()["op4_lm_score_trigrams"](spark, SF).select(*names).collect()]
+    assert sorted(map(repr, rows)) == sorted(map(repr, expected))
+
+
 def fewest_edits(passage, text):
     before = np.zeros(len(text) + 1, int)
     raw, shift = np.frombuffer(text, dtype=np.uint8), np.arange(len(text) + 1)
