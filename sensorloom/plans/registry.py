@@ -80,7 +80,7 @@ def latest_telemetry_json(spark, sf_dir):
 
 @query
 def fleet_status(spark, sf_dir):
-    normal = derived.normal_seed(spark, sf_dir)
+    normal = derived.normal_seed(spark, sf_dir, derived.written_ranks(spark, sf_dir))
     return serving.fleet_status(derived.telemetry_of(normal), normal)
 
 
@@ -101,7 +101,8 @@ def chart_from_agg(spark, sf_dir):
 
 @query
 def chart_inline(spark, sf_dir):
-    return serving.chart_inline(derived.telemetry(spark, sf_dir), hours=0.5)
+    normal = derived.normal_seed(spark, sf_dir, derived.written_ranks(spark, sf_dir))
+    return serving.chart_inline(derived.telemetry_of(normal), hours=0.5)
 
 
 @query
@@ -300,12 +301,13 @@ def failure_status(spark, sf_dir):
 
 
 def _replay_inputs(spark, sf_dir):
-    normal = derived.normal_seed(spark, sf_dir)
+    ranked = derived.written_ranks(spark, sf_dir)
+    normal = derived.normal_seed(spark, sf_dir, ranked)
     return (
         derived.stream_state(spark, sf_dir),
         derived.failure_config(spark, sf_dir),
         normal,
-        derived.failure_traces(spark, sf_dir),
+        derived.failure_traces(spark, sf_dir, ranked),
         derived.written_so_far(normal),
     )
 
@@ -549,7 +551,7 @@ def chart_inline_by_day(spark, sf_dir):
 @query
 def idempotent_append(spark, sf_dir):
     """A full replay appended to what is there already."""
-    normal = derived.normal_seed(spark, sf_dir)
+    normal = derived.normal_seed(spark, sf_dir, derived.written_ranks(spark, sf_dir))
     existing = derived.written_so_far(normal)
     again = derived.telemetry_of(normal).drop("status")
     stamped = again.withColumn("status", F.lit(DEFAULT_STATUS))

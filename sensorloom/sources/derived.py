@@ -12,44 +12,68 @@ from pyspark.sql import functions as F
 from sensorloom.functions.timeops import epoch_to_ts, ntz
 from sensorloom.plans.replay import tag_traces
 from sensorloom.schemas import DEFAULT_STATUS, SENSORS
+from sensorloom.session import cut_lineage
 
 START = "2024-01-01 00:00:00"
 STEP = 5
 CLOCK = 100
 
-# Pieces of the order in which rows are ranked.
-PIECES = 64
+# Rows of one key that a task ranks at most; a key with more is ranked in pieces.
+TASK_ROWS = 4_000_000
+# One small expression: a list of literals would be looked at again with every step of a plan.
+_THOUSANDTHS = f"cast(split('{','.join(str(i / 1000) for i in range(1, 1000))}', ',') AS array<double>)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, key: str, order: list[str], *, pieces: int = PIECES) -> DataFrame:
-    """``df`` with ``epoch`` 1..n per key in the given order.
+def numbered(df: DataFrame, key: str, order: list[str], *, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` with ``epoch`` 1..n per key in the given order, whose first two columns are numbers.
 
-    The order is cut at quantiles of its first column into pieces of about the
-    same number of rows. Rows are ranked within a piece and offset by the
-    counts of the pieces before, whatever the number of rows of a key. Rows
-    with one value of that column stay together.
+    Keys are counted first. Those with at most ``task_rows`` rows are ranked by one
+    window each; the others, at most one per ``task_rows`` rows of the table, in pieces:
+    the order of a key is cut at quantiles of its first column, nulls first, and a value
+    that many rows share is cut again by the second one. Rows are ranked within a
+    piece and offset by the counts of the pieces before. All this is one lazy
+    plan, written as one statement so that it is analysed once.
     """
-    lead = order[0]
-    steps = [i / pieces for i in range(1, pieces)]
-    cuts = df.agg(F.percentile_approx(lead, steps, 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-    # A null comes first in the order and is beyond no bound.
-    place = F.size(F.filter(bounds, lambda b: b < F.col(lead))) if cuts else F.lit(0)
-    rows = df.withColumns({"_key": F.struct(key), "_piece": place})
-    before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("_key", "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_key", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_offset")
-    )
-    within = Window.partitionBy("_key", "_piece").orderBy(*order)
-    return (
-        rows.join(offsets, ["_key", "_piece"])
-        .withColumn("epoch", F.col("_offset") + F.row_number().over(within))
-        .select(*df.columns, "epoch")
+    columns, by = ", ".join(df.columns), ", ".join(order)
+    one, two = order[:2]
+
+    def cuts(name: str, of: str, group: str, value: str) -> str:
+        """As many quantiles as cut a group into pieces of ``task_rows`` rows, nulls where it is small."""
+        return f"""{name} AS (
+            SELECT {group}, CASE WHEN n > {task_rows} THEN array_distinct(array_compact(transform(
+                       sequence(1, cast(least(ceil(n / {task_rows}), 1000) AS int) - 1),
+                       i -> get(steps, cast(i * 1000 / least(ceil(n / {task_rows}), 1000) AS int) - 1)))) END AS cuts
+            FROM (SELECT {group}, count(*) AS n, percentile_approx({value}, {_THOUSANDTHS}, 10000) AS steps
+                  FROM {of} GROUP BY {group}))"""
+
+    def place(value: str) -> str:
+        return f"""CASE WHEN {value} IS NULL OR cuts IS NULL THEN 0
+            ELSE 2 * size(filter(cuts, c -> c < {value})) + int(array_contains(cuts, {value})) + 1 END"""
+
+    return df.sparkSession.sql(
+        f"""
+        WITH held AS (SELECT *, struct({key}) AS _key FROM {{df}}),
+        large AS (SELECT _key FROM held GROUP BY _key HAVING count(*) > {task_rows}),
+        split AS (SELECT /*+ BROADCAST(large) */ held.* FROM held JOIN large USING (_key)),
+        {cuts("first", "split", "_key", one)},
+        placed AS (SELECT split.*, {place(one)} AS _one FROM split JOIN first USING (_key)),
+        {cuts("second", "placed", "_key, _one", two)},
+        pieces AS (SELECT placed.*, {place(two)} AS _two FROM placed JOIN second USING (_key, _one)),
+        offsets AS (
+            SELECT _key, _one, _two, sum(count(*)) OVER (PARTITION BY _key ORDER BY _one, _two) - count(*) AS _offset
+            FROM pieces GROUP BY _key, _one, _two)
+        SELECT /*+ BROADCAST(large) */ {columns},
+               cast(row_number() OVER (PARTITION BY _key ORDER BY {by}) AS long) AS epoch
+        FROM held LEFT ANTI JOIN large USING (_key)
+        UNION ALL
+        SELECT {columns}, _offset + row_number() OVER (PARTITION BY _key, _one, _two ORDER BY {by})
+        FROM pieces JOIN offsets USING (_key, _one, _two)
+        """,
+        df=df,
     )
 
 
@@ -81,9 +105,15 @@ def _sensors():
     ]
 
 
-def normal_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def written_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked line items as a table, for jobs that read several traces from them."""
+    return cut_lineage(_ranked(spark, sf_dir), "ranked")
+
+
+def normal_seed(spark: SparkSession, sf_dir: str, ranked: DataFrame | None = None) -> DataFrame:
     """Epoch-indexed trace of every truck."""
-    return _ranked(spark, sf_dir).select(_truck("l_suppkey"), "epoch", *_sensors())
+    ranked = _ranked(spark, sf_dir) if ranked is None else ranked
+    return ranked.select(_truck("l_suppkey"), "epoch", *_sensors())
 
 
 def faulty_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +136,15 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry_of(normal_seed(spark, sf_dir))
 
 
-def failure_seeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def failure_seeds(
+    spark: SparkSession, sf_dir: str, ranked: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """One trace per failure type: the fleet's mean reading per epoch, drifting.
 
     Sums are over whole numbers, so the means do not depend on their order.
     """
-    mean = _ranked(spark, sf_dir).groupBy("epoch").agg(
+    ranked = _ranked(spark, sf_dir) if ranked is None else ranked
+    mean = ranked.groupBy("epoch").agg(
         (F.sum(F.col("l_quantity").cast("long")) / F.count(F.lit(1))).alias("q"),
         (F.sum(F.round(F.col("l_discount") * 100).cast("long")) / F.count(F.lit(1))).alias("d"),
         (F.sum(F.round(F.col("l_tax") * 100).cast("long")) / F.count(F.lit(1))).alias("t"),
@@ -137,8 +170,8 @@ def failure_seeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def failure_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tag_traces(failure_seeds(spark, sf_dir))
+def failure_traces(spark: SparkSession, sf_dir: str, ranked: DataFrame | None = None) -> DataFrame:
+    return tag_traces(failure_seeds(spark, sf_dir, ranked))
 
 
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,8 +335,8 @@ def test_a_foreign_date_column_changes_nothing(spark):
     assert "date" in serving.snapshot_at_max(odd).columns
 
 
-@pytest.mark.parametrize("pieces", [1, 7, 64])
-def test_rows_are_numbered_in_pieces(spark, pieces):
+@pytest.mark.parametrize("task_rows", [100_000, 700, 40])
+def test_rows_are_numbered_in_pieces(spark, task_rows):
     lines = derived.table(spark, SF, "lineitem").withColumn(
         "l_suppkey", F.when(F.col("l_orderkey") % 3 == 0, 7).otherwise(F.col("l_suppkey"))
     )
@@ -345,7 +345,7 @@ def test_rows_are_numbered_in_pieces(spark, pieces):
         "l_orderkey", F.when(F.col("l_orderkey") % 7 == 0, odd).otherwise(F.col("l_orderkey") - 300)
     ).withColumn("l_suppkey", F.when(F.col("l_suppkey") != 3, F.col("l_suppkey")))
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    got = derived.numbered(lines, "l_suppkey", order, pieces=pieces)
+    got = derived.numbered(lines, "l_suppkey", order, task_rows=task_rows)
     w = Window.partitionBy("l_suppkey").orderBy(*order)
     plain = lines.withColumn("epoch", F.row_number().over(w).cast("long"))
     assert got.select("l_suppkey", *order, "epoch").exceptAll(
