@@ -182,11 +182,14 @@ def blocks(
     return met.drop("_cut", "_other")
 
 
-# Whole texts are long: batches for Python hold few rows, to bound its memory.
+# Whole texts are long: batches for Python are bounded in rows and bytes. A batch ends
+# with the row that passes the bound, so one text is more than that at most.
 ARROW_ROWS = 500
+ARROW_BYTES = 8 << 20
 
 
 def prepare(spark) -> None:
     """Ships this package to the Python workers and bounds what they get at once."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)

@@ -142,3 +142,84 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 6) AS log_score
        round(CASE WHEN len(ws) > 0 THEN s / len(ws) END, 6) AS mean_score
 FROM doc LEFT JOIN total USING (r)
 """
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a text expression; the table stands in ``crc``."""
+    return f"""xor(list_reduce([4294967295] || list_transform(
+        regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT),
+        lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _least(*ways: str) -> str:
+    """The least of some ways to a kind of prefix; a way is null where there is none."""
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _way(source: str, cost: str, edit: str, role: str | None = None, text: str = "''", when: str = "true") -> str:
+    """A way carried on by one edit, and by a line if a row stays."""
+    line = f"{source}.r" if role is None else f"{source}.r || CASE WHEN {source}.r = '' THEN '' ELSE chr(10) END || {role} || ':' || {text}"
+    return f"CASE WHEN {source} IS NOT NULL AND {when} THEN {{'c': {source}.c + {cost}, 'a': {source}.a || '{edit}', 'r': {line}}} END"
+
+
+# The least ways to the four kinds of prefixes, row after row; a way is (cost, audit, lines), compared
+# in this order. ``iu`` and ``ia`` are the least ways once rows may have been inserted.
+_STAYS = "g.f IN ('', 'truncated')"
+_KEEP = {x: f"{_STAYS} AND g.x = '{x}'" for x in "sua"}
+_EXTRA = "CASE WHEN g.f = 'truncated' THEN 5 ELSE 0 END"
+ORACLES["op13_repair"] = f"""
+WITH RECURSIVE crc AS MATERIALIZED ({_CRC_TABLE}),
+kind AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kind WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged)),
+given AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS y,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+              WHEN regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN '' ELSE 'truncated' END AS f
+  FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate,
+         count(*) FILTER (f = 'truncated') AS truncated,
+         count(*) FILTER (y IS NOT NULL AND y || x NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM given GROUP BY conv_id),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'r': ''}} AS n,
+         NULL::STRUCT(c INTEGER, a VARCHAR, r VARCHAR) AS s, NULL::STRUCT(c INTEGER, a VARCHAR, r VARCHAR) AS u,
+         NULL::STRUCT(c INTEGER, a VARCHAR, r VARCHAR) AS a
+  FROM conversations
+  UNION ALL
+  SELECT w.conv_id, g.i, {_way("w.n", "2", "D")},
+         {_least(_way("w.s", "2", "D"), _way("w.n", _EXTRA, "K", "g.role", "g.text", _KEEP["s"]))},
+         {_least(
+             _way("w.u", "2", "D"),
+             *[_way(f"w.{k}", _EXTRA, "K", "g.role", "g.text", _KEEP["u"]) for k in ("n", "s", "ia")],
+             *[_way(f"w.{k}", f"1 + {_EXTRA}", "R", "'user'", "g.text", _STAYS) for k in ("n", "s", "ia")],
+         )},
+         {_least(
+             _way("w.a", "2", "D"),
+             _way("w.iu", _EXTRA, "K", "g.role", "g.text", _KEEP["a"]),
+             _way("w.iu", f"1 + {_EXTRA}", "R", "'assistant'", "g.text", _STAYS),
+         )}
+  FROM (SELECT *, {_least("a", _way("iu", "5", "I", "'assistant'"))} AS ia FROM (
+          SELECT *, {_least("u", *[_way(k, "5", "I", "'user'") for k in ("n", "s", "a")])} AS iu FROM walk)) w
+  JOIN given g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1),
+ended AS (
+  SELECT w.conv_id, i, {_least("n", "a", _way("iu", "5", "I", "'assistant'"))} AS way
+  FROM (SELECT *, {_least("u", *[_way(k, "5", "I", "'user'") for k in ("n", "s", "a")])} AS iu FROM walk) w)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, way.c::BIGINT AS cost, way.a AS audit,
+       sha256(way.r) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+WHERE e.i = coalesce(n, 0)
+"""

@@ -15,6 +15,7 @@ from sensorloom.llm import (
     ngram_lm,
     pii,
     quality,
+    repair,
     sharding,
     simhash,
     token_files,
@@ -101,3 +102,8 @@ def op5_decontamination(spark, sf_dir):
 @query
 def op8_personal_data(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_repair(spark, sf_dir):
+    return repair.digest(table(spark, sf_dir, "conversations"))
