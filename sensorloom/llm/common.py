@@ -83,6 +83,25 @@ def running(
     ).drop(at, *[f"_upto_{n}" for n in sums])
 
 
+def placed(rows: DataFrame, group: str, order: list[Column], lead: list[Column], label: str) -> DataFrame:
+    """``rows``, written, with ``place``: their number within the group, from 0.
+
+    Rows are put in order over all tasks, dealt out by ``lead``, which rises with ``order``
+    and is short; a row's place follows from its number in its task and the counts of the
+    tasks before. A group of any size is spread over as many tasks as it needs.
+    """
+    ordered = rows.repartitionByRange(F.col(group), *lead).sortWithinPartitions(F.col(group), *order)
+    ordered = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()), label)
+    ordered = ordered.withColumn("_task", F.shiftright("_at", 33))
+    tasks = ordered.groupBy(group, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select(
+        group, "_task", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    place = F.col("_before") + F.col("_at") - F.col("_first")
+    return ordered.join(tasks, [group, "_task"]).withColumn("place", place).drop("_at", "_task", "_first", "_before")
+
+
 def with_identity(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Adds 128 hash bits of a whole row: equal exactly for rows equal in all columns."""
     plain = [

@@ -223,3 +223,36 @@ SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 WHERE e.i = coalesce(n, 0)
 """
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH crc AS MATERIALIZED ({_CRC_TABLE}),
+placed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+whole AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY i) AS own, any_value({_crc32("conv_id::VARCHAR")}) % 9 AS h
+  FROM placed, crc GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, coalesce(b.own[1:c.h], []) || c.own[c.h + 1:] AS turns
+  FROM whole c LEFT JOIN whole b ON b.conv_id = c.conv_id - c.conv_id % 5),
+prefix AS (
+  SELECT conv_id, turns, d, turns[1:d] AS key, d = len(turns) AS ends
+  FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)),
+node AS (
+  SELECT key, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ended,
+         any_value(CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(turns[d].text)) END) AS size
+  FROM prefix GROUP BY key),
+children AS (SELECT key[1:d - 1] AS key, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+above AS (
+  SELECT key[1:k] AS key, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT node.key, unnest(range(d + 1)) AS k, children.n IS NULL AS leaf, (node.n - 1) * size AS saved
+        FROM node LEFT JOIN children USING (key))
+  GROUP BY 1)
+SELECT node.conv_id, node.d::BIGINT AS depth, parent.conv_id AS parent_conv_id, node.n::BIGINT AS n_convs,
+       coalesce(children.n, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(node.ended) AS ends_sha256
+FROM node JOIN above USING (key) LEFT JOIN children USING (key)
+LEFT JOIN node parent ON node.d > 0 AND parent.key = node.key[1:node.d - 1]
+"""

@@ -14,6 +14,7 @@ from sensorloom.llm import (
     mixing,
     ngram_lm,
     pii,
+    prefix_trie,
     quality,
     repair,
     sharding,
@@ -104,6 +105,11 @@ def op8_personal_data(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.digest(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_repair(spark, sf_dir):
     return repair.digest(table(spark, sf_dir, "conversations"))
