@@ -151,7 +151,7 @@ def fit(labelled: DataFrame, usable, calibrates) -> Model | None:
     points = labelled.filter(calibrates)
     at = F.round(F.least(F.greatest(_difference(points, model), F.lit(-60.0)), F.lit(60.0)), 1)
     table = points.groupBy(at.alias("at"), "label").count().collect()
-    slope, offset = _logistic([(r["at"], r["label"], r["count"]) for r in table])
+    slope, offset = logistic([(r["at"], r["label"], r["count"]) for r in table])
     return Model(model.means, model.factors, model.log_dets, slope, offset)
 
 
@@ -171,7 +171,7 @@ def _difference(rows: DataFrame, model: Model):
     return _applied(rows, model.difference)
 
 
-def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
+def logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Slope and offset of a weighted logistic regression on one number, by Newton's method."""
     if len({label for _, label, _ in points}) < 2:
         return 1.0, 0.0

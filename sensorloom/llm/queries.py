@@ -20,6 +20,7 @@ from sensorloom.llm import (
     sharding,
     simhash,
     token_files,
+    toxicity,
     vectors,
 )
 from sensorloom.llm.common import table
@@ -110,6 +111,11 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.digest(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op13_repair(spark, sf_dir):
     return repair.digest(table(spark, sf_dir, "conversations"))

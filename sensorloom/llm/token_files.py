@@ -11,6 +11,9 @@ writes under a name of its own and renames when done, so a repeated task leaves
 a whole file, whichever attempt wins. Files go to the folder given, which all
 executors share.
 
+The tokenizer is used as its file has it: the name of a special token in a text is that
+token. Such names hold no white space, so cutting texts there leaves them whole.
+
 Defined results: a null text is an empty one and has the end id only; rows with
 one doc_id follow each other, ordered by text; an empty table makes no file.
 """
@@ -64,7 +67,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
     @staticmethod

@@ -566,8 +566,10 @@ def test_token_files(spark, odd, docs, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    assert whole.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     awkward = ["a  b\n\n c d  e\x1cf", "it's <|endoftext|> now  ", "  ", "x" * 200]
+    mark, gaps = "<|endoftext|>", ["", " ", "  ", "\n\n ", "x", " y", "z \t"]
+    awkward += [f"a{before}{mark}{after}b" for before in gaps for after in gaps] + [mark, mark * 3, f" {mark} {mark}"]
     more = spark.createDataFrame([(100 + i, t, None, None, None) for i, t in enumerate(awkward)], DOCS)
     rows = odd.select("doc_id", "text").unionByName(more.select("doc_id", "text"))
     rows = rows.unionByName(docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
