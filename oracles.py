@@ -738,4 +738,31 @@ def all_oracles() -> dict[str, str]:
         ),
     }
     out["latest_telemetry_json_file"] = out["latest_telemetry_json"]
+    # The same results by other jobs.
+    out["stream_features_keyed"] = out["stream_features_all"]
+    out["stream_refresh_touched"] = out["stream_refresh_cache"]
+    out["refresh_markers_from_changes"] = out["refresh_markers"]
+    classified = _event_relations()["scored"].replace("FROM latest", "FROM features")
+    out["stream_markers_history"] = _with_events(
+        ["features"],
+        f"""SELECT entity_id, time_bucket(INTERVAL 5 MINUTE, min(feature_timestamp)) AS first_failure_time,
+                   predicted_failure_type AS failure_type, TIMESTAMP '2024-01-01 02:00:00' AS last_updated
+            FROM (SELECT *, max(CASE WHEN predicted_failure_type = 'NORMAL' THEN feature_timestamp END)
+                              OVER (PARTITION BY entity_id) AS normal
+                  FROM ({classified}))
+            WHERE predicted_failure_type <> 'NORMAL' AND (normal IS NULL OR feature_timestamp > normal)
+            GROUP BY entity_id, predicted_failure_type""",
+    )
+    out["refresh_changes"] = _with(
+        ["prediction_cache", "predictions"],
+        """SELECT coalesce(p.entity_id, c.entity_id) AS entity_id,
+                  CASE WHEN p.entity_id IS NULL THEN c.predicted_failure_type
+                       ELSE p.predicted_failure_type END AS predicted_failure_type,
+                  CASE WHEN p.entity_id IS NULL THEN c.last_updated
+                       ELSE TIMESTAMP '2024-01-01 02:00:00' END AS last_updated,
+                  CASE WHEN p.entity_id IS NULL THEN 'kept'
+                       WHEN substr(p.entity_id, 7)::BIGINT % 2 = 0 THEN 'unchanged'
+                       WHEN c.entity_id IS NULL THEN 'inserted' ELSE 'updated' END AS change
+           FROM prediction_cache c FULL OUTER JOIN predictions p ON p.entity_id = c.entity_id""",
+    )
     return out

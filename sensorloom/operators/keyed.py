@@ -68,6 +68,32 @@ def upsert(
     row per key. Columns in ``update_keep`` keep a non-NULL target value.
     ``insert_defaults`` fills columns the source lacks on inserted rows.
     """
+    return _upserted(target, source, key, order, insert_defaults, update_keep, None).select(*target.columns)
+
+
+# What an upsert does to a row: the last one is not in the source.
+INSERTED, UPDATED, UNCHANGED, KEPT = "inserted", "updated", "unchanged", "kept"
+
+
+def upsert_changes(
+    target: DataFrame,
+    source: DataFrame,
+    key,
+    *,
+    order=None,
+    insert_defaults: dict | None = None,
+    update_keep: tuple[str, ...] = (),
+    stamps: tuple[str, ...] = (),
+) -> DataFrame:
+    """The content of ``upsert`` with ``change``: inserted, updated, unchanged, or kept.
+
+    A matched row whose columns all stay as they were is unchanged, whatever its
+    ``stamps`` (columns that say when it was written).
+    """
+    return _upserted(target, source, key, order, insert_defaults, update_keep, stamps)
+
+
+def _upserted(target, source, key, order, insert_defaults, update_keep, stamps) -> DataFrame:
     keys = _names(key)
     if order is not None:
         source = latest_per(source, keys, order)
@@ -91,9 +117,15 @@ def upsert(
             new = F.when(in_target, F.coalesce(old, new)).otherwise(new)
         return F.when(in_source, new).otherwise(old)
 
-    return joined.select(
-        *[value(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields]
-    )
+    content = [value(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields]
+    if stamps is None:
+        return joined.select(*content)
+    same = F.lit(True)
+    for f in target.schema.fields:
+        if f.name not in stamps:
+            same = same & value(f.name).cast(f.dataType).eqNullSafe(F.col(f"t.{f.name}"))
+    change = F.when(~in_source, KEPT).when(~in_target, INSERTED).when(same, UNCHANGED).otherwise(UPDATED)
+    return joined.select(*content, change.alias("change"))
 
 
 def update_where(target: DataFrame, condition: Column, sets: dict[str, Column]) -> DataFrame:

@@ -28,6 +28,7 @@ from sensorloom.sources import derived, export, traces
 from sensorloom.sources.versioned import VersionedTable, append_by_day, replace_table
 from sensorloom.streaming import live
 from sensorloom.streaming.refresh import RefreshStore, stream_refresh
+from sensorloom.streaming.restated import RestatedRefresh, stream_restated
 from sensorloom.streaming.slices import HistoryRefresh, SliceLog, stream_refresh_history, stream_slices
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -739,3 +740,58 @@ def stream_features(spark, sf_dir):
     """Features of the closed slices, as the refresh stream writes them out."""
     store = _refresh_store(spark, sf_dir)
     return spark.read.parquet(store.features_path).drop("batch")
+
+
+def _restated(spark, sf_dir) -> RestatedRefresh:
+    """Keyed state over the events as eight files in no order; their whole span counts as lateness."""
+    job = RestatedRefresh(spark, session.scratch_path(spark, "restated"), _EVENT_RULES, buckets=16, as_of=AS_OF)
+    stream_restated(
+        _shuffled_events(spark, sf_dir),
+        job,
+        lateness="60 days",
+        checkpoint=f"{job.path}/checkpoint",
+        minutes=360,
+        min_records=2,
+    ).awaitTermination()
+    return job
+
+
+@query
+def stream_features_keyed(spark, sf_dir):
+    """Features of all slices from keyed state, a late slice changing its successors only."""
+    return _restated(spark, sf_dir).features.read().drop("window_start", "record_count", "bucket")
+
+
+@query
+def stream_refresh_touched(spark, sf_dir):
+    """Predictions of the same stream, of which each batch writes the touched buckets."""
+    return _restated(spark, sf_dir).cache.read().drop("bucket")
+
+
+@query
+def stream_markers_history(spark, sf_dir):
+    """Its markers in event time: the first slice of each type since the last normal one."""
+    return _restated(spark, sf_dir).markers.read().drop("bucket")
+
+
+def _changes(spark, sf_dir):
+    """All newest predictions written into a cache that has those of every other truck already."""
+    predictions = scoring.hybrid_prediction(_features(spark, sf_dir), scoring.RuleScorer())
+    predictions = session.cut_lineage(predictions, "predictions")
+    even = F.regexp_extract("entity_id", "[0-9]+", 0).cast("long") % 2 == 0
+    cache = derived.prediction_cache(spark, sf_dir)
+    known = refresh.upsert_predictions(cache, predictions.filter(even), as_of=derived.START)
+    return refresh.prediction_changes(known, predictions, as_of=AS_OF)
+
+
+@query
+def refresh_changes(spark, sf_dir):
+    """What writing the newest predictions does to every row of the cache."""
+    return _changes(spark, sf_dir).select("entity_id", "predicted_failure_type", "last_updated", "change")
+
+
+@query
+def refresh_markers_from_changes(spark, sf_dir):
+    """Markers kept from what a write has named, without another look at the cache."""
+    changes = session.cut_lineage(_changes(spark, sf_dir), "changes")
+    return refresh.markers_from_changes(derived.first_failure_markers(spark, sf_dir), changes, as_of=AS_OF)

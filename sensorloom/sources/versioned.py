@@ -21,6 +21,32 @@ from sensorloom.functions.timeops import DAY
 _MARKER = "_COMPLETE"
 
 
+def file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
+
+
+def complete_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions of a folder that have been written to the end, in order."""
+    root, fs, jvm = file_system(spark, path)
+    if not fs.exists(root):
+        return []
+    found = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), _MARKER)
+        if name.startswith("v=") and fs.exists(done):
+            found.append(int(name[2:]))
+    return sorted(found)
+
+
+def complete(spark: SparkSession, folder: str) -> None:
+    """Marks a version as written to the end."""
+    _, fs, jvm = file_system(spark, folder)
+    fs.create(jvm.org.apache.hadoop.fs.Path(folder, _MARKER)).close()
+
+
 @dataclass(frozen=True)
 class VersionedTable:
     """One table: a folder of versions and the schema they share."""
@@ -33,23 +59,9 @@ class VersionedTable:
     def _folder(self, version: int) -> str:
         return f"{self.path}/v={version:012d}"
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
-
     def versions(self) -> list[int]:
         """Numbers of the complete versions, in order."""
-        root, fs, jvm = self._fs()
-        if not fs.exists(root):
-            return []
-        found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(status.getPath(), _MARKER)
-            if name.startswith("v=") and fs.exists(done):
-                found.append(int(name[2:]))
-        return sorted(found)
+        return complete_versions(self.spark, self.path)
 
     def read(self, up_to: int | None = None) -> DataFrame:
         """The newest complete version, or the newest one up to a number."""
@@ -70,13 +82,12 @@ class VersionedTable:
         if version < newest:
             raise ValueError(f"{self.path} is at version {newest}, past {version}")
         df.select(*self.schema.names).write.mode("overwrite").parquet(self._folder(version))
-        _, fs, jvm = self._fs()
-        fs.create(jvm.org.apache.hadoop.fs.Path(self._folder(version), _MARKER)).close()
+        complete(self.spark, self._folder(version))
         self._forget(version - self.keep)
         return version
 
     def _forget(self, oldest: int) -> None:
-        _, fs, jvm = self._fs()
+        _, fs, jvm = file_system(self.spark, self.path)
         for version in self.versions():
             if version <= oldest:
                 fs.delete(jvm.org.apache.hadoop.fs.Path(self._folder(version)), True)
