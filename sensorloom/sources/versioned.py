@@ -27,8 +27,8 @@ def file_system(spark: SparkSession, path: str):
     return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
-def complete_versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions of a folder that have been written to the end, in order."""
+def complete_folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names of the folders in ``path`` that have been written to the end."""
     root, fs, jvm = file_system(spark, path)
     if not fs.exists(root):
         return []
@@ -36,13 +36,18 @@ def complete_versions(spark: SparkSession, path: str) -> list[int]:
     for status in fs.listStatus(root):
         name = status.getPath().getName()
         done = jvm.org.apache.hadoop.fs.Path(status.getPath(), _MARKER)
-        if name.startswith("v=") and fs.exists(done):
-            found.append(int(name[2:]))
+        if name.startswith(prefix) and fs.exists(done):
+            found.append(name)
     return sorted(found)
 
 
+def complete_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table, in order."""
+    return [int(name[2:]) for name in complete_folders(spark, path, "v=")]
+
+
 def complete(spark: SparkSession, folder: str) -> None:
-    """Marks a version as written to the end."""
+    """Marks a folder as written to the end."""
     _, fs, jvm = file_system(spark, folder)
     fs.create(jvm.org.apache.hadoop.fs.Path(folder, _MARKER)).close()
 
