@@ -683,14 +683,17 @@ def all_oracles() -> dict[str, str]:
         "chart_from_agg_by_day": _with_events(["agg"], _CHART_AGG.format(back="48 HOUR")),
         "chart_inline_by_day": _with_events(tel, _CHART_INLINE.format(back="48 HOUR")),
         "hybrid_prediction_ml": _with(
-            ["latest"],
+            ["scored"],
             f"""SELECT entity_id, feature_timestamp AS prediction_timestamp,
                        round(avg_engine_temp, 6) AS current_engine_temp,
                        round(avg_trans_oil_pressure, 6) AS current_trans_pressure,
                        round(avg_battery_voltage, 6) AS current_battery_voltage,
-                       true AS class_known, true AS missing_is_normal, true AS hours_fit_class,
-                       true AS hours_not_negative, true AS tag_fits_class
-                FROM latest""",
+                       predicted_failure_type AS rule_class,
+                       round(CASE WHEN predicted_failure_type = 'ELECTRICAL_FAILURE' THEN hours_temporal
+                                  WHEN predicted_failure_type <> 'NORMAL' THEN hours_basic END, 6) AS rule_hours,
+                       true AS classes_agree, true AS all_classes_told, true AS hours_agree,
+                       true AS missing_is_normal, true AS hours_fit_class, true AS tag_fits_class
+                FROM scored""",
         ),
         "hybrid_prediction_function": _with(
             ["array_predictions"], f"SELECT {_CACHE} FROM array_predictions"
@@ -739,6 +742,9 @@ def all_oracles() -> dict[str, str]:
     }
     out["latest_telemetry_json_file"] = out["latest_telemetry_json"]
     # The same results by other jobs.
+    out["load_observed"] = out["stream_load_audit"] = out["load_pipeline"]
+    out["stream_load_rows"] = out["load_trace_csv"]
+    out["stream_load_rejects"] = out["load_rejects"]
     out["stream_features_keyed"] = out["stream_features_all"]
     out["stream_refresh_touched"] = out["stream_refresh_cache"]
     out["refresh_markers_from_changes"] = out["refresh_markers"]

@@ -127,6 +127,25 @@ def fit_scorer(
     )
 
 
+def agreement(scored: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: how well predictions agree with given classes and hours.
+
+    ``truth`` has entity_id, class, basic_hours and temporal_hours. ``class_share`` is the
+    share of equal classes, ``class_kinds`` how many classes are told at least once
+    rightly out of ``true_kinds``, and ``hours_error`` the mean distance of the hours to
+    those of the model that the class calls for, in standard deviations of these.
+    """
+    both = scored.join(truth, "entity_id")
+    right = F.col(CLASS) == F.col("class")
+    hours = F.when(is_temporal(), F.col("temporal_hours")).when(is_basic(), F.col("basic_hours"))
+    return both.agg(
+        F.avg(right.cast("int")).alias("class_share"),
+        F.count_distinct(F.when(right, F.col("class"))).alias("class_kinds"),
+        F.count_distinct("class").alias("true_kinds"),
+        (F.avg(F.abs(F.col(HOURS) - hours)) / F.nullif(F.stddev_pop(hours), F.lit(0.0))).alias("hours_error"),
+    )
+
+
 Predict = Callable[[np.ndarray], np.ndarray]
 
 

@@ -429,6 +429,43 @@ def load_pipeline(spark, sf_dir):
     )
 
 
+@query
+def load_observed(spark, sf_dir):
+    """The same load by one parse, counted by the write itself."""
+    folder = session.scratch_path(spark, "parsed")
+    return traces.load_parsed(spark, _trace_files(spark, sf_dir), NORMAL_SEED, folder, "NORMAL_SEED")
+
+
+def _streamed_files(spark, sf_dir) -> str:
+    """The trace files loaded as they come, two to a batch."""
+    base = session.scratch_path(spark, "streamed-files")
+    traces.stream_trace_files(
+        spark,
+        _trace_files(spark, sf_dir),
+        NORMAL_SEED,
+        f"{base}/loaded",
+        "NORMAL_SEED",
+        checkpoint=f"{base}/checkpoint",
+        files_per_batch=2,
+    ).awaitTermination()
+    return f"{base}/loaded"
+
+
+@query
+def stream_load_rows(spark, sf_dir):
+    return traces.parsed_rows(spark, _streamed_files(spark, sf_dir), NORMAL_SEED)
+
+
+@query
+def stream_load_rejects(spark, sf_dir):
+    return traces.parsed_rejects(spark, _streamed_files(spark, sf_dir), NORMAL_SEED)
+
+
+@query
+def stream_load_audit(spark, sf_dir):
+    return traces.stream_audit(spark, _streamed_files(spark, sf_dir))
+
+
 @query
 def customer_upsert(spark, sf_dir):
     """Every customer's newest order merged into the customers that are not in debt.
@@ -577,30 +614,55 @@ def _trained(spark, sf_dir):
     )
 
 
+# What trained models have to reach on the newest slices; a scorer that says NORMAL for all does not.
+_CLASS_SHARE, _HOURS_ERROR = 0.75, 0.35
+
+
 @query
 def hybrid_prediction_ml(spark, sf_dir):
-    """Trained, saved and loaded models; what every prediction has to hold, whatever the trees.
+    """Trained, saved and loaded models against the rules they were trained on.
 
-    Each condition is worked out from the scores of the loaded models.
+    Each row has the rules' class and hours, which the SQL twin works out too, and whether the
+    loaded models reach the stated agreement over all entities.
     """
     labelled, scorer = _trained(spark, sf_dir)
     path = session.scratch_path(spark, "models")
     scorer.save(path)
-    rows = labelled.drop(*_RULE_LABELS)
-    scored = scoring.hybrid_prediction(rows, models.MLScorer.load(path))
-    given = features.latest_features(rows).select("entity_id", any_missing(BASIC_FEATURES).alias("missing"))
-    kind, hours, tag = F.col(scoring.CLASS), F.col(scoring.HOURS), F.col("ttf_model_used")
-    normal = kind == NORMAL
-    return scored.join(given, "entity_id").select(
+    scored = scoring.hybrid_prediction(labelled.drop(*_RULE_LABELS), models.MLScorer.load(path))
+    scored = session.cut_lineage(scored, "scored")
+    kind, basic, temporal = _RULE_LABELS
+    truth = features.latest_features(labelled).select(
+        "entity_id",
+        F.col(kind).alias("class"),
+        F.col(basic).alias("basic_hours"),
+        F.col(temporal).alias("temporal_hours"),
+        any_missing(BASIC_FEATURES).alias("missing"),
+    )
+    reached = models.agreement(scored, truth).select(
+        (F.col("class_share") >= _CLASS_SHARE).alias("classes_agree"),
+        (F.col("class_kinds") == F.col("true_kinds")).alias("all_classes_told"),
+        (F.col("hours_error") <= _HOURS_ERROR).alias("hours_agree"),
+    )
+    found, hours, tag = F.col(scoring.CLASS), F.col(scoring.HOURS), F.col("ttf_model_used")
+    normal = found == NORMAL
+    rule_hours = (
+        F.when(scoring.is_temporal("class"), F.col("temporal_hours"))
+        .when(scoring.is_basic("class"), F.col("basic_hours"))
+    )
+    # One row on the right.
+    return scored.join(truth, "entity_id").join(F.broadcast(reached)).select(
         "entity_id",
         "prediction_timestamp",
         "current_engine_temp",
         "current_trans_pressure",
         "current_battery_voltage",
-        (normal | scoring.is_basic() | scoring.is_temporal()).alias("class_known"),
+        F.col("class").alias("rule_class"),
+        rule_hours.alias("rule_hours"),
+        "classes_agree",
+        "all_classes_told",
+        "hours_agree",
         (~F.col("missing") | normal).alias("missing_is_normal"),
         (normal == hours.isNull()).alias("hours_fit_class"),
-        (F.coalesce(hours, F.lit(0.0)) >= 0).alias("hours_not_negative"),
         F.when(normal, tag == scoring.MODEL_NONE)
         .when(scoring.is_temporal(), tag == scoring.MODEL_TEMPORAL)
         .otherwise(tag == scoring.MODEL_BASIC)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sensorloom.operators.keyed import append_if_absent
-from sensorloom.plans import refresh, replay, serving, status
+from sensorloom.plans import features, models, refresh, replay, scoring, serving, status
 from sensorloom.plans.clock import STREAM, Clock
 from sensorloom.schemas import (
     FAILURE_CONFIG,
@@ -352,3 +352,21 @@ def test_rows_are_numbered_in_pieces(spark, task_rows):
         plain.select("l_suppkey", *order, "epoch")
     ).count() == 0
     assert got.count() == 6000
+
+
+def test_agreement_tells_a_scorer_that_says_normal(spark):
+    rows = features.temporal_features(features.window_stats(derived.telemetry(spark, SF)))
+    rules = scoring.RuleScorer()
+    latest = features.latest_features(rows)
+    truth = latest.select(
+        "entity_id",
+        rules.class_expr().alias("class"),
+        rules.basic_expr().alias("basic_hours"),
+        rules.temporal_expr().alias("temporal_hours"),
+    )
+    scored = scoring.hybrid_prediction(rows, rules)
+    same = models.agreement(scored, truth).first()
+    assert (same.class_share, same.class_kinds, same.true_kinds, same.hours_error) == (1.0, 4, 4, 0.0)
+    none = scored.withColumn(scoring.CLASS, F.lit("NORMAL")).withColumn(scoring.HOURS, F.lit(None).cast("double"))
+    told = models.agreement(none, truth).first()
+    assert told.class_share < 0.75 and told.class_kinds == 1 and told.hours_error is None

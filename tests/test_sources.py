@@ -111,3 +111,39 @@ def test_telemetry_is_laid_out_by_day(spark, tmp_path):
     assert back.count() == 3
     versioned.replace_table(back.limit(0).select(*FAILURE_SEED.names[1:]), str(tmp_path / "other"))
     assert spark.read.parquet(str(tmp_path / "other")).count() == 0
+
+
+def test_one_parse_gives_rows_rejects_and_counts(spark, tmp_path):
+    lines = ["entity_id,epoch,a,b,c", "x,1,1.5,2,3", "y,zz,2,3,4", "z,3", "w,4,,9,1"]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(5):
+        with gzip.open(folder / f"{i}.csv.gz", "wt") as out:
+            out.write("\n".join(lines) + "\n")
+    expected = traces.load_trace_csv(spark, str(folder), NORMAL_SEED)
+    rejects = traces.load_rejects(spark, str(folder), NORMAL_SEED)
+    assert expected.count() == 10 and rejects.count() == 10
+    audit = traces.load_parsed(spark, str(folder), NORMAL_SEED, str(tmp_path / "out"), "T")
+    assert {r.table_name: (r.row_count, r.data) for r in audit.collect()} == {
+        "T": (10, "T: 10 rows"), "T_REJECTS": (10, "T_REJECTS: 10 rows")
+    }
+    base = str(tmp_path / "streamed")
+
+    def run():
+        traces.stream_trace_files(
+            spark, str(folder), NORMAL_SEED, base, "T", checkpoint=f"{base}-checkpoint", files_per_batch=2
+        ).awaitTermination()
+
+    run()
+    for where in (str(tmp_path / "out"), base):
+        assert traces.parsed_rows(spark, where, NORMAL_SEED).exceptAll(expected).isEmpty()
+        assert traces.parsed_rejects(spark, where, NORMAL_SEED).exceptAll(rejects).isEmpty()
+        assert traces.parsed_rows(spark, where, NORMAL_SEED).count() == 10
+    # A batch whose end was not noted runs again and leaves the same.
+    commits = sorted((tmp_path / "streamed-checkpoint" / "commits").glob("[0-9]*"))
+    assert len(commits) == 3
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    run()
+    assert traces.parsed_rows(spark, base, NORMAL_SEED).count() == 10
+    assert {r.row_count for r in traces.stream_audit(spark, base).collect()} == {10}
