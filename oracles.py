@@ -759,6 +759,13 @@ def all_oracles() -> dict[str, str]:
             WHERE predicted_failure_type <> 'NORMAL' AND (normal IS NULL OR feature_timestamp > normal)
             GROUP BY entity_id, predicted_failure_type""",
     )
+    out["stream_status"] = _with_events(
+        ["telemetry"],
+        f"""SELECT entity_id, CASE WHEN date_diff('second', ts, (SELECT max(ts) FROM events)) <= 7200
+                                   THEN 'ONLINE' ELSE 'OFFLINE' END AS status,
+                   ts AS "timestamp", {_SENSORS}
+            FROM ({_LATEST_READING})""",
+    )
     out["refresh_changes"] = _with(
         ["prediction_cache", "predictions"],
         """SELECT coalesce(p.entity_id, c.entity_id) AS entity_id,

@@ -29,6 +29,8 @@ from sensorloom.sources.versioned import VersionedTable, append_by_day, replace_
 from sensorloom.streaming import live
 from sensorloom.streaming.refresh import RefreshStore, stream_refresh
 from sensorloom.streaming.restated import RestatedRefresh, stream_restated
+from sensorloom.streaming.status import CHANGES, status_now
+from sensorloom.streaming.status import stream_status as run_status
 from sensorloom.streaming.slices import HistoryRefresh, SliceLog, stream_refresh_history, stream_slices
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -857,3 +859,13 @@ def refresh_markers_from_changes(spark, sf_dir):
     """Markers kept from what a write has named, without another look at the cache."""
     changes = session.cut_lineage(_changes(spark, sf_dir), "changes")
     return refresh.markers_from_changes(derived.first_failure_markers(spark, sf_dir), changes, as_of=AS_OF)
+
+
+@query
+def stream_status(spark, sf_dir):
+    """Users on line within two hours of the newest event, from the changes of a status stream."""
+    base = session.scratch_path(spark, "stream-status")
+    run_status(
+        _event_stream(spark, sf_dir), f"{base}/changes", checkpoint=f"{base}/checkpoint", fresh_s=7200
+    ).awaitTermination()
+    return status_now(spark.read.schema(CHANGES).parquet(f"{base}/changes"))

@@ -13,6 +13,7 @@ from sensorloom.plans import features, partials, refresh, scoring, serving
 from sensorloom.schemas import FIRST_FAILURE_MARKERS, PREDICTION_CACHE, SENSORS, TELEMETRY
 from sensorloom.sources.buckets import BucketedTable
 from sensorloom.streaming import slices, state
+from sensorloom.streaming import status as live_status
 from sensorloom.streaming.restated import RestatedRefresh, stream_restated
 from sensorloom.streaming.slices import HistoryRefresh, SliceLog
 
@@ -245,3 +246,28 @@ def test_markers_in_event_time(spark):
     got = refresh.event_markers(frame, as_of=START)
     assert {(r.entity_id, r.first_failure_time, r.failure_type) for r in got.collect()} == expected
     assert got.columns == FIRST_FAILURE_MARKERS.names and isinstance(START, datetime) and SF
+
+
+def test_status_follows_the_watermark(spark, tmp_path):
+    """An entity falls silent and comes back; after each file the status is that of all files so far."""
+    spans = [{"a": (0, 60), "b": (0, 40)}, {"a": (60, 90)}, {"a": (90, 95), "b": (91, 93), "c": (94, 95)}, {"a": (95, 120)}]
+    batches = []
+    for span in spans:
+        batch = None
+        for entity, (lo, hi) in span.items():
+            one = uneven(spark, range(lo, hi, 2), entity)
+            batch = one if batch is None else batch.unionByName(one)
+        batches.append(batch)
+    files(spark, str(tmp_path / "in"), *batches[:1])
+    options = {"checkpoint": str(tmp_path / "c"), "fresh_s": 10}
+    whole = None
+    for i, batch in enumerate(batches):
+        if i:
+            files(spark, str(tmp_path / "in"), batch)
+        live_status.stream_status(stream_of(spark, str(tmp_path / "in")), str(tmp_path / "out"), **options).awaitTermination()
+        whole = batch if whole is None else whole.unionByName(batch)
+        changes = spark.read.schema(live_status.CHANGES).parquet(str(tmp_path / "out"))
+        expected = serving.fleet_status(whole, whole, fresh_s=10)
+        assert same(live_status.status_now(changes), expected)
+    told = [(r.entity_id, r.status) for r in changes.orderBy("order").collect() if r.entity_id == "b"]
+    assert told == [("b", "ONLINE"), ("b", "OFFLINE"), ("b", "ONLINE"), ("b", "OFFLINE")]
