@@ -439,7 +439,10 @@ def load_observed(spark, sf_dir):
 
 
 def _streamed_files(spark, sf_dir) -> str:
-    """The trace files loaded as they come, two to a batch."""
+    """The trace files loaded as they come, as many to a batch as tasks run at a time.
+
+    A compressed file is one task, so smaller batches would leave cores idle.
+    """
     base = session.scratch_path(spark, "streamed-files")
     traces.stream_trace_files(
         spark,
@@ -448,7 +451,7 @@ def _streamed_files(spark, sf_dir) -> str:
         f"{base}/loaded",
         "NORMAL_SEED",
         checkpoint=f"{base}/checkpoint",
-        files_per_batch=2,
+        files_per_batch=max(2, spark.sparkContext.defaultParallelism),
     ).awaitTermination()
     return f"{base}/loaded"
 

@@ -147,3 +147,22 @@ def test_one_parse_gives_rows_rejects_and_counts(spark, tmp_path):
     run()
     assert traces.parsed_rows(spark, base, NORMAL_SEED).count() == 10
     assert {r.row_count for r in traces.stream_audit(spark, base).collect()} == {10}
+
+
+def test_streamed_files_fill_the_cores(spark, monkeypatch):
+    from sensorloom.plans import registry
+
+    seen = []
+
+    class Done:
+        def awaitTermination(self):
+            pass
+
+    def load(*args, files_per_batch, **options):
+        seen.append(files_per_batch)
+        return Done()
+
+    monkeypatch.setattr(traces, "stream_trace_files", load)
+    monkeypatch.setattr(registry, "_trace_files", lambda spark, sf_dir: sf_dir)
+    registry._streamed_files(spark, "in")
+    assert seen == [spark.sparkContext.defaultParallelism]
