@@ -25,7 +25,7 @@ from sensorloom.operators.windows import latest_per
 from sensorloom.plans import array_rules, features, models, refresh, replay, scoring, serving, status
 from sensorloom.schemas import BASIC_FEATURES, DEFAULT_STATUS, FAILURE_TYPES, NORMAL, NORMAL_SEED
 from sensorloom.sources import derived, export, traces
-from sensorloom.sources.versioned import VersionedTable, append_by_day, replace_table
+from sensorloom.sources.versioned import VersionedTable, append_by_day
 from sensorloom.streaming import live
 from sensorloom.streaming.refresh import RefreshStore, stream_refresh
 from sensorloom.streaming.restated import RestatedRefresh, stream_restated
@@ -419,14 +419,14 @@ def load_pipeline(spark, sf_dir):
     A second load over the first leaves the same tables.
     """
     files = _trace_files(spark, sf_dir)
-    base = session.scratch_path(spark, "loaded")
+    tables = session.scratch_path(spark, "loaded")
     for _ in range(2):
-        replace_table(traces.load_trace_csv(spark, files, NORMAL_SEED), f"{base}/seed")
-        replace_table(traces.load_rejects(spark, files, NORMAL_SEED), f"{base}/rejects")
+        # Rows and rejects are the two sides of one parse.
+        traces.load_parsed(spark, files, NORMAL_SEED, tables, "NORMAL_SEED")
     return traces.load_audit(
         {
-            "NORMAL_SEED": spark.read.parquet(f"{base}/seed"),
-            "NORMAL_SEED_REJECTS": spark.read.parquet(f"{base}/rejects"),
+            "NORMAL_SEED": traces.parsed_rows(spark, tables, NORMAL_SEED),
+            "NORMAL_SEED_REJECTS": traces.parsed_rejects(spark, tables, NORMAL_SEED),
         }
     )
 

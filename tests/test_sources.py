@@ -166,3 +166,14 @@ def test_streamed_files_fill_the_cores(spark, monkeypatch):
     monkeypatch.setattr(registry, "_trace_files", lambda spark, sf_dir: sf_dir)
     registry._streamed_files(spark, "in")
     assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_a_load_parses_files_once(spark, monkeypatch):
+    from sensorloom.plans import registry
+
+    parses, plain = [], traces._lines
+    monkeypatch.setattr(traces, "_lines", lambda *args: parses.append(1) or plain(*args))
+    counts = registry.all_queries()["load_pipeline"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.row_count for r in counts) == 6000
+    # Two loads of rows and rejects.
+    assert len(parses) == 2
