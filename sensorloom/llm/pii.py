@@ -14,10 +14,10 @@
    candidates kept aside are positive. Candidates that reach it and overlap no base span
    are added, of each run of overlapping ones the best.
 
-The trees learn from documents with base spans, about ``TRAIN_DOCS`` of each kind drawn from all
-documents by a hash, and as many without; of them about ``TRAIN_ROWS`` candidates. A rare
-kind is thus learned from all of its spans. Trees are trained by Spark ML and applied as
-expressions. Patterns are possessive and start at the edge of a run, and whatever runs
+The trees and thresholds are learned from all candidates of all documents. Candidates that look
+alike, with the same numbers and label, are one weighted row, so what is trained on follows the
+variety of formats, not the size of the table; each kind and label has the same weight in all,
+so that none crowds out another. Trees are trained by Spark ML and applied as expressions. Patterns are possessive and start at the edge of a run, and whatever runs
 over a text's spans is a scan in blocks (``_scan``), so the time grows with the text and
 its spans, not their square. Positions count code points, the end exclusive.
 
@@ -42,8 +42,6 @@ from sensorloom.llm.common import fresh
 from sensorloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS = 4_000
-TRAIN_ROWS = 200_000
 TREES = 10
 DEPTH = 3
 PRECISION = 0.95
@@ -424,12 +422,12 @@ def _drawn_documents(docs: DataFrame, train_docs: int) -> DataFrame:
     return rows.filter(wanted).select("text", "base").dropDuplicates(["text"])
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN_ROWS) -> Scorer | None:
-    """Learns what candidates at a base span of their kind, and masked base spans, look like."""
-    rows = cut_lineage(_drawn_documents(docs, train_docs), "pii-documents")
-    # Copies of a text are one row; a text is on one side of the split.
+def _candidates(docs: DataFrame) -> DataFrame:
+    """(values, kind, label, fold, n): how many candidates of all documents look so."""
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    # A text is on one side of the split, with all its copies.
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(4)))
-    rows = rows.withColumn("proposed", candidate_spans("text"))
+    rows = rows.withColumn("base", base_spans("text")).withColumn("proposed", candidate_spans("text"))
     kinds = F.array(*[F.lit(k) for k in range(len(KINDS))])
     own = F.struct(F.col("proposed").alias("proposed"), F.col("base").alias("base"))
     found = _let(
@@ -441,35 +439,41 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN
     )
     marked = F.concat(found.cast(f"array<{_MARKED}>"), masked.cast(f"array<{_MARKED}>"))
     rows = rows.select("fold", F.explode(marked).alias("m"))
-    rows = cut_lineage(
-        rows.select(
-            F.array(*features(F.col("m.span"))).alias("values"),
-            F.col("m.span.kind").alias("kind"),
-            F.col("m.label").cast("double").alias("label"),
-            "fold",
-            F.xxhash64("m.span.txt", "m.span.before", "m.span.after").alias("mark"),
-        ),
-        "pii-candidates",
+    rows = rows.select(
+        F.array(*features(F.col("m.span"))).alias("values"),
+        F.col("m.span.kind").alias("kind"),
+        F.col("m.label").cast("double").alias("label"),
+        "fold",
     )
-    sides = rows.groupBy("kind", "label").count().collect()
+    return rows.groupBy("values", "kind", "label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train(docs: DataFrame, train_docs: int | None = None) -> Scorer | None:
+    """Learns what candidates at a base span of their kind, and masked base spans, look like.
+
+    From all documents, or from some drawn by a hash if ``train_docs`` of each kind will do.
+    """
+    if train_docs is not None:
+        docs = cut_lineage(_drawn_documents(docs, train_docs), "pii-documents")
+    rows = cut_lineage(_candidates(docs), "pii-candidates")
+    sides = rows.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()
     if {r["label"] for r in sides} != {0.0, 1.0}:
         return None
-    # Each kind and label has its part of the rows, so that none crowds out another.
-    each = train_rows / len(sides)
-    wanted = F.lit(False)
+    weight, whole = F.lit(0.0), sum(r["n"] for r in sides)
     for r in sides:
-        drawn = _drawn(min(1.0, each / r["count"]), "mark")
-        wanted = wanted | ((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]) & drawn)
-    learn = rows.filter(wanted & (F.col("fold") > 0))
-    learn = learn.select(array_to_vector("values").alias("features"), "label")
+        share = whole / len(sides) / r["n"]
+        weight = F.when((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), share).otherwise(weight)
+    learn = rows.filter("fold > 0").withColumn("weight", F.col("n") * weight)
+    learn = learn.select(array_to_vector("values").alias("features"), "label", "weight")
     if learn.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(learn.coalesce(8))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight").fit(learn)
     scorer = Scorer(_parsed(model.toDebugString), list(model.treeWeights), {})
     score = scorer.probability(lambda i: F.col("values")[i])
     # Scores in hundredths: at most 101 rows for each kind.
     kept = rows.filter("fold = 0").groupBy("kind", F.floor(score * 100).cast("int").alias("at"))
-    bins = kept.agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no")).collect()
+    told = [F.coalesce(F.sum(F.when(F.col("label") == v, F.col("n"))), F.lit(0)).alias(c) for v, c in ((1, "yes"), (0, "no"))]
+    bins = kept.agg(*told).collect()
     scorer.thresholds = _thresholds([(r["kind"], r["at"], r["yes"], r["no"]) for r in bins])
     return scorer
 
