@@ -694,12 +694,12 @@ def _event_stream(spark, sf_dir) -> DataFrame:
 
 
 def _shuffled_events(spark, sf_dir) -> DataFrame:
-    """The events as eight files in no order of time, one to a micro-batch."""
+    """The events in eight micro-batches in no order of time, each of as many files as tasks run at a time."""
     path = session.scratch_path(spark, "event-files")
     events = derived.table(spark, sf_dir, "events")
-    piece = F.pmod(F.xxhash64("event_id"), F.lit(8))
-    events.repartitionByRange(8, piece).write.parquet(path)
-    files = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    tasks = spark.sparkContext.defaultParallelism
+    events.repartition(8 * tasks, "event_id").write.parquet(path)
+    files = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", tasks)
     return derived.event_readings(files.parquet(path))
 
 

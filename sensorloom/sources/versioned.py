@@ -99,9 +99,12 @@ class VersionedTable:
 
 
 def append_by_day(df: DataFrame, path: str, *, ts: str = "timestamp") -> None:
-    """Append rows, one folder per day of ``ts``, so that time ranges prune folders."""
+    """Append rows, one folder per day of ``ts``, so that time ranges prune folders.
+
+    Rows of a day are brought together, large days in several tasks, so a folder gets few files.
+    """
     dated = df.withColumn(DAY, F.to_date(ts))
-    dated.write.mode("append").partitionBy(DAY).parquet(path)
+    dated.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(path)
 
 
 def replace_table(df: DataFrame, path: str) -> None:

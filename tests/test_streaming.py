@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.plans import features, refresh, scoring, serving
+from sensorloom.plans import features, refresh, registry, scoring, serving
 from sensorloom.schemas import FIRST_FAILURE_MARKERS, PREDICTION_CACHE, TELEMETRY
 from sensorloom.sources import derived
 from sensorloom.sources.versioned import VersionedTable
@@ -192,3 +192,24 @@ def test_refresh_takes_late_readings_within_the_lateness(spark, fleet, tmp_path)
     expected = scoring.hybrid_prediction(full, scoring.RuleScorer())
     assert same(store.cache.read().drop("last_updated"), expected)
     assert store.markers.read().schema == spark.createDataFrame([], FIRST_FAILURE_MARKERS).schema
+
+
+def test_a_day_gets_one_file_an_append(spark, tmp_path):
+    days = readings(spark, *[(f"e{i}", 86400 * (i % 3) + i) for i in range(60)])
+    for _ in range(2):
+        live.append_by_day(days.repartition(4), str(tmp_path / "out"))
+    files = [f for f in (tmp_path / "out").rglob("*.parquet") if f.stat().st_size]
+    assert len(files) == 2 * 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 120
+
+
+def test_event_batches_are_read_by_all_tasks(spark, tmp_path, monkeypatch):
+    made = iter(str(tmp_path / f"{i}") for i in range(9))
+    monkeypatch.setattr(registry.session, "scratch_path", lambda _, label: next(made))
+    stream = registry._shuffled_events(spark, "/root/testdata/sf0.01")
+    tasks = spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "0").glob("*.parquet"))) == 8 * tasks
+    sizes = []
+    each = stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+    each.foreachBatch(lambda batch, _: sizes.append(batch.rdd.getNumPartitions())).start().awaitTermination()
+    assert len(sizes) == 8 and min(sizes) >= 1
