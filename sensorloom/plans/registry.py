@@ -793,8 +793,11 @@ def stream_refresh_cache(spark, sf_dir):
 
 @query
 def stream_features_all(spark, sf_dir):
-    """Features of all slices of the same stream."""
-    return _history_refresh(spark, sf_dir).features()
+    """Features of all slices of the same stream, which need its slice log and no predictions."""
+    base = session.scratch_path(spark, "stream-features")
+    job = HistoryRefresh(SliceLog(spark, f"{base}/log", minutes=360), _EVENT_RULES, min_records=2)
+    stream_slices(_shuffled_events(spark, sf_dir), job.log, checkpoint=f"{base}/checkpoint").awaitTermination()
+    return job.features()
 
 
 @query

@@ -101,6 +101,10 @@ class SliceLog:
             parts = parts.join(wanted, F.col("entity_id").eqNullSafe(F.col("_wanted")), "left_semi")
         return _added_up(parts)
 
+    def batch(self, batch_id: int) -> DataFrame:
+        """The slice statistics of the batch just added, as they are in the log."""
+        return self._of([(batch_id, batch_id)])
+
     def means(self) -> DataFrame:
         """Slice means as ``serving.agg_5min`` gives them."""
         return self.read().select(
@@ -161,7 +165,7 @@ class HistoryRefresh:
     def each(self, batch: DataFrame, batch_id: int) -> None:
         """From version ``batch_id`` of the cache to the next; repeatable."""
         self.log.add(batch, batch_id)
-        rows = self.features(batch_id, batch)
+        rows = self.features(batch_id, self.log.batch(batch_id))
         predictions = scoring.hybrid_prediction(rows, self.scorer)
         known = self.cache.read(batch_id)
         self.cache.write(

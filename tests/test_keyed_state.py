@@ -316,3 +316,15 @@ def test_a_batch_of_an_entity_costs_little():
         spent += time.process_time() - at
         assert len(out) == 1 and len(Handle.timers) == 1
     assert spent / n < 0.01
+
+
+def test_all_features_need_no_predictions(spark, tmp_path, monkeypatch):
+    """The slice log is all that features are read from; a batch takes its entities from its own part."""
+    from sensorloom.plans import registry
+    from sensorloom.streaming import slices
+
+    def no_batch(*_):
+        raise AssertionError("a batch was scored")
+
+    monkeypatch.setattr(slices.HistoryRefresh, "each", no_batch)
+    assert registry.all_queries()["stream_features_all"](spark, "/root/testdata/sf0.001").count()
