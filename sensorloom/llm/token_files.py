@@ -11,8 +11,8 @@ writes under a name of its own and renames when done, so a repeated task leaves
 a whole file, whichever attempt wins. Files go to the folder given, which all
 executors share.
 
-The tokenizer is used as its file has it: the name of a special token in a text is that
-token. Such names hold no white space, so cutting texts there leaves them whole.
+The tokenizer is used as its file has it: the name of an added token in a text is that
+token. Texts are cut only where no such name can hold a cut; with a tokenizer whose names do, whole texts are encoded.
 
 Defined results: a null text is an empty one and has the end id only; rows with
 one doc_id follow each other, ordered by text; an empty table makes no file.
@@ -50,9 +50,11 @@ DOCUMENT_FRAME = 0x184D2A50
 SEEKABLE = 0x8F92EAB1
 CHECKSUMS = 0x80
 # White space as the tokenizer's pattern has it. It never joins a space to what
-# stands before it, so a text may be cut before any run of spaces.
+# stands before it, so a text may be cut before any run of spaces. Nor does it join a letter to
+# a mark after it, so that a word is one chunk whatever mark ends it; Latin letters will do for that.
 _GAP = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_CHUNK = re.compile(f"[{_GAP}]*[^{_GAP}]+|[{_GAP}]+")
+_LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+_CHUNK = re.compile(f"[{_GAP}]*+(?:[{_LETTERS}]++(?=[.,;:!?])|[^{_GAP}]++)|[{_GAP}]+")
 
 _END = struct.pack("<I", END_ID)
 _ENCODERS: dict[str, Encoder] = {}
@@ -68,6 +70,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # No name may hold a cut, nor take the spaces after it.
+        self.cuts = all(_CHUNK.findall(t.content) == [t.content.strip()] and not t.rstrip for t in added)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -77,17 +82,25 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text and the end id, 4 bytes each, little-endian."""
+        if not self.cuts:
+            return self._ids([text or ""])[0] + _END
         chunks = _CHUNK.findall(text or "")
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if not new:
-            return b"".join([known[c] for c in chunks]) + _END
-        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        spare = {}
-        for c, e in zip(new, found):
-            keep = known if len(known) < CACHED and len(c) <= REMEMBERED else spare
-            keep[c] = array("I", e.ids).tobytes()
-        return b"".join([known.get(c) or spare[c] for c in chunks]) + _END
+        parts = list(map(self.known.get, chunks))
+        if None in parts:
+            new = list(dict.fromkeys([c for c, p in zip(chunks, parts) if p is None]))
+            found = dict(zip(new, self._ids(new)))
+            parts = [found[c] if p is None else p for c, p in zip(chunks, parts)]
+            for c, ids in found.items():
+                if len(self.known) >= CACHED:
+                    break
+                if len(c) <= REMEMBERED:
+                    self.known[c] = ids
+        return b"".join(parts) + _END
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        # Places in the text are not asked for, which makes it the faster call.
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
 
 def _skippable(magic: int, content: bytes) -> bytes:

@@ -590,6 +590,30 @@ def test_token_files(spark, odd, docs, tmp_path):
     assert token_files.digest(empty(rows), str(tmp_path / "none"), path).count() == 0
 
 
+def test_a_word_is_encoded_once_whatever_mark_ends_it(tmp_path):
+    import public_tokenizers
+    from tokenizers import AddedToken, Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    ids = lambda t: np.array([*whole.encode(t, add_special_tokens=False).ids, 0], dtype="<u4").tobytes()
+    encoder = token_files.Encoder(path)
+    marks = [".", ",", ";", ":", "!", "?", "...", ".,", "'s.", "'S,", "1.", "\u0301.", "\xb2.", "\xd7.", " .", "\n.", "<|endoftext|>.", ".<|endoftext|>"]
+    for word in ("word", "\xe9t\xe9", "\u01c5", "\u4e2d", "don't", "x1y", "a-b"):
+        for mark in marks:
+            text = f"{word}{mark} {word}{mark}{word}\n{mark}{word}"
+            assert encoder.encode(text) == ids(text) == encoder.encode(text)
+    encoder = token_files.Encoder(path)
+    encoder.encode("one word, one word. one word! one word? one word; one word: one word")
+    assert [c for c in encoder.known if "word" in c] == [" word"]
+    # Names that hold a cut are found all the same.
+    whole.add_tokens([AddedToken("Mr. X"), AddedToken("<gap>", rstrip=True)])
+    whole.save(str(tmp_path / "names.json"))
+    named = token_files.Encoder(str(tmp_path / "names.json"))
+    for text in ("Dear Mr. X, hello", "a <gap>  b", None, ""):
+        assert named.encode(text) == ids(text or "")
+
+
 def test_single_documents_and_damage(tmp_path):
     import zstandard
 
